@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotweave.llm import decontamination, language_id, license_scan, token_counts
+from spotweave.llm import chat_format, decontamination, language_id, license_scan, line_dedup, sentence_pieces, token_counts, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 TOKEN_LIMIT = 512
 
 
@@ -32,6 +33,34 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, written and read back."""
+    manifest = warc.write_archives(warc.decide_types(table(spark, sf_dir, "pages")))
+    records = warc.read_archives(spark, manifest)
+    return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, and whether they decode to the text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = sentence_pieces.encode_and_decode(docs, PIECE_BPE)
+    same = F.col("decoded").eqNullSafe(F.regexp_replace("text", sentence_pieces.MARK, " "))
+    return found.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), F.length("decoded").cast("long").alias("n_chars"), same.alias("round_trip"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts and masked completions of all conversations with an assistant turn."""
+    pairs = chat_format.preference_pairs(table(spark, sf_dir, "conversations"))
+    found = chat_format.format_preferences(pairs)
+    return found.select("conv_id", "n_prompt_turns", "prompt", "chosen_text", F.array_join("chosen_mask", ",").alias("chosen_mask"), "rejected_text", F.array_join("rejected_mask", ",").alias("rejected_mask"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that stand on many sites."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.remove_boilerplate(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence labels of all documents."""
     found = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -57,8 +86,72 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op8_license_scan, op9_decontamination)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_warc, op4_sentence_pieces, op5_chat_format, op6_line_dedup, op8_license_scan, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": OP3, "op5_chat_format": OP5, "op6_line_dedup": OP6, "op9_decontamination": OP9}
+
+
+OP3 = """
+WITH rows AS (SELECT page_id, encode(coalesce(html, '')) AS data FROM pages),
+hashed AS (SELECT page_id, octet_length(data) AS size, sha1(data) AS hex FROM rows),
+low AS (SELECT *, min(page_id) OVER (PARTITION BY hex, size) AS first FROM hashed),
+coded AS (SELECT *, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+    list_sum(list_transform(range(0, 5), lambda b:
+      ((strpos('0123456789abcdef', substr(hex, CAST((5 * i + b) // 4 + 1 AS INTEGER), 1)) - 1) // CAST(2 ** (3 - (5 * i + b) % 4) AS INTEGER)) % 2 * CAST(2 ** (4 - b) AS INTEGER))) + 1 AS INTEGER), 1)), 'string_agg', '') AS digest FROM low)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to
+FROM coded
+"""
+
+OP5 = """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+last AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS turns FROM t GROUP BY conv_id),
+cut AS (SELECT conv_id, turns[1:list_max(list_transform(turns, lambda x, i: CASE WHEN x.role = 'assistant' THEN i ELSE 0 END))] AS chosen FROM last
+  WHERE list_contains(list_transform(turns, lambda x: x.role), 'assistant')),
+paired AS (SELECT a.conv_id, a.chosen, list_concat(a.chosen[1:len(a.chosen) - 1], [{'role': 'assistant', 'text': coalesce(b.chosen[len(b.chosen)].text, '')}]) AS rejected
+  FROM cut a LEFT JOIN cut b ON b.conv_id = xor(a.conv_id, 1)),
+n AS (SELECT *, coalesce(list_min(list_filter(list_transform(chosen, lambda x, i: CASE WHEN x = rejected[i] THEN 1000000 ELSE i - 1 END), lambda v: v < 1000000)), len(chosen)) AS same FROM paired),
+parts AS (SELECT conv_id, same, chosen[1:same] AS p, chosen[same + 1:] AS c, rejected[same + 1:] AS r FROM n)
+SELECT conv_id, CAST(same AS BIGINT) AS n_prompt_turns,
+  array_to_string(list_transform(p, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), '') AS prompt,
+  array_to_string(list_transform(c, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), '') AS chosen_text,
+  array_to_string(list_filter(list_transform(c, lambda x, i: CASE WHEN x.role = 'assistant' THEN
+    CAST(coalesce(list_sum(list_transform(c[1:i - 1], lambda y: 24 + length(y.role) + length(y.text))), 0) + 13 + length(x.role) AS BIGINT) || '-' ||
+    CAST(coalesce(list_sum(list_transform(c[1:i - 1], lambda y: 24 + length(y.role) + length(y.text))), 0) + 23 + length(x.role) + length(x.text) AS BIGINT) END), lambda v: v IS NOT NULL), ',') AS chosen_mask,
+  array_to_string(list_transform(r, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), '') AS rejected_text,
+  array_to_string(list_filter(list_transform(r, lambda x, i: CASE WHEN x.role = 'assistant' THEN
+    CAST(coalesce(list_sum(list_transform(r[1:i - 1], lambda y: 24 + length(y.role) + length(y.text))), 0) + 13 + length(x.role) AS BIGINT) || '-' ||
+    CAST(coalesce(list_sum(list_transform(r[1:i - 1], lambda y: 24 + length(y.role) + length(y.text))), 0) + 23 + length(x.role) + length(x.text) AS BIGINT) END), lambda v: v IS NOT NULL), ',') AS rejected_mask
+FROM parts
+"""
+
+OP6 = """
+WITH parts AS (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM parts),
+bad AS (SELECT line FROM l WHERE line <> '' AND source IS NOT NULL GROUP BY line HAVING count(DISTINCT source) >= 10),
+kept AS (SELECT l.doc_id, count(*) FILTER (l.line <> '') AS n_lines, count(bad.line) AS n_removed, string_agg(CASE WHEN bad.line IS NULL THEN l.line END, chr(10) ORDER BY l.pos) AS text
+  FROM l LEFT JOIN bad ON l.line = bad.line GROUP BY l.doc_id)
+SELECT d.doc_id, CAST(coalesce(k.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+_WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP9 = f"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS.format('text')}, []) AS w FROM documents),
+b AS (SELECT DISTINCT item_id, {_WORDS.format('text')} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+bw AS (SELECT DISTINCT item_id, size, array_to_string(w[s:s + size - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM bw),
+dw AS (SELECT doc_id, size, s, array_to_string(w[s:s + size - 1], ' ') AS g
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM d, sizes WHERE len(w) >= size)),
+hits AS (SELECT dw.doc_id, dw.s, dw.size, bw.item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.size = bw.size),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM hits GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(words.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items.ids), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(items.ids, ','), '')) AS items_sha256, coalesce(words.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+"""

@@ -21,10 +21,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: Rows in an Arrow batch from the JVM, and bytes of text that a function sees at once.
 BATCH_ROWS = 1000
 SLICE_BYTES = 4 << 20
-#: Entries of a task's word cache; the cache is emptied when it is full.
-CACHE_WORDS = 400_000
-
-_MASK = (1 << 64) - 1
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -128,17 +124,9 @@ def blank_words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, with a bounded memory of those seen."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def hash_words(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -149,14 +137,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each run of ``n`` word hashes."""
+    """A hash of each run of ``n`` word hashes: their sum with an odd factor for each place, mixed."""
     count = len(hashes) - n + 1
     if count <= 0:
         return np.empty(0, np.uint64)
+    factors = mix(np.arange(1, n + 1, dtype=np.uint64) * _STEP) | np.uint64(1)
     total = np.full(count, n, np.uint64)
     for k in range(n):
-        total = mix(total * _STEP + hashes[k : k + count])
-    return total
+        total += hashes[k : k + count] * factors[k]
+    return mix(total)
 
 
 # --- groups that may be hot ---------------------------------------------------------------------------------

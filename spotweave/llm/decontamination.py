@@ -60,12 +60,11 @@ class WindowSet:
     """Windows by their number of words and hash; a table of bits says quickly that a hash is not there."""
 
     def __init__(self, rows: list):
-        hashes = common.WordHashes()
         self.sizes: dict[int, tuple[np.ndarray, dict]] = {}
         by_size: dict[int, dict[int, dict[bytes, list[int]]]] = {}
         for item, size, words, _ in rows:
             words = bytes(words)
-            key = int(common.windows(hashes.of(words.split(b" ")), size)[0])
+            key = int(common.windows(common.hash_words(words.split(b" ")), size)[0])
             by_size.setdefault(size, {}).setdefault(key, {}).setdefault(words, []).append(item)
         for size, found in by_size.items():
             bits = max(10, math.ceil(math.log2(len(found) * 16)))
@@ -102,7 +101,7 @@ def _pass(docs: DataFrame, shared, text: str, first: bool) -> DataFrame:
     before = None if first else (docs.columns.index("_hits"), docs.columns.index("_items"))
 
     def start():
-        windows, hashes = WindowSet(shared.value), common.WordHashes()
+        windows = WindowSet(shared.value)
 
         def make(part: pa.RecordBatch, at: int) -> list:
             counts, marks, items = [], [], []
@@ -111,7 +110,7 @@ def _pass(docs: DataFrame, shared, text: str, first: bool) -> DataFrame:
                 words = common.alnum_words(t)
                 hit = np.frombuffer(was_hit, np.uint8).copy() if was_hit else np.zeros(len(words), np.uint8)
                 found = set(had or ())
-                windows.scan(words, hashes.of(words), hit, found)
+                windows.scan(words, common.hash_words(words), hit, found)
                 counts.append(len(words))
                 marks.append(hit.tobytes() if found else None)
                 items.append(sorted(found))
