@@ -283,11 +283,11 @@ def test_licenses_base_and_templates(spark):
     texts = ["plain words", "x Licensed under the Apache License, Version 2.0. apache license", "see GNU General Public License now", mit.upper() + " tail", " ".join(w for i, w in enumerate(mit.split()) if i != 10), "CC BY-NC 4.0: Licensed under CC BY-NC 4.0.", None, ""]
     docs = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], DOCS)
     got = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
-    assert got[1].base_found == ["apache"] and got[1].base_starts == [3, 7]
+    assert got[1].base_found == ["apache"] and got[1].base_starts == [4, 9]
     assert [(m.label, m.first_word) for m in got[1].matches] == [("apache-2.0", 1)]
     assert got[2].base_found == ["gpl"] and got[2].matches == []
     assert [(m.label, m.score) for m in got[3].matches] == [("mit", 1.0)]
-    assert got[5].base_starts == [0, 6] and [m.label for m in got[5].matches] == ["cc-by-nc-4.0"]
+    assert got[5].base_starts == [0, 7] and [m.label for m in got[5].matches] == ["cc-by-nc-4.0"]
     for i in (0, 6, 7):
         assert got[i].base_found == [] and got[i].matches == []
     assert license_scan.scan_licenses(no_docs(spark)).count() == 0
