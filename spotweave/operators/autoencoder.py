@@ -1,0 +1,189 @@
+"""A graph variational autoencoder that is trained on distributed rows.
+
+Propagation is taken out of the training loop: a linear map commutes with the adjacency, so the hops of the features are
+made once by Spark joins, and each row carries its own stack of hops. What is left of the model is row by row: an epoch
+broadcasts the parameters (a few small matrices), one Arrow pass adds up loss and gradients over the rows of each task,
+an aggregation adds the tasks' sums, and the driver takes an Adam step. No task and no driver sees the rows of others.
+
+Encoder: projection of each hop, hop attention (``adaptive``: softmax over hops of q . tanh(h) for each row; ``global``: one
+softmax for all rows; ``uniform``: the mean), ELU, posterior mean and log variance. Decoder: linear. Loss: squared cosine
+error of masked rows, a tenth of the squared error of all, and the KL from the unit normal, which warms up over the first
+quarter of the epochs. Masked rows enter with a learned token. Masks and noise come from hashes of row, epoch and seed.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from spotweave.operators import graph
+
+Params = dict[str, np.ndarray]
+_MODES = ("adaptive", "global", "uniform")
+
+
+@dataclass(frozen=True)
+class Config:
+    """Options of a run; unknown values raise an error."""
+
+    hidden: int = 16
+    latent: int = 8
+    hops: int = 3
+    mode: str = "adaptive"
+    epochs: int = 30
+    mask: float = 0.3
+    beta: float = 0.01
+    rate: float = 1e-2
+    decay: float = 1e-4
+    clip: float = 5.0
+    seed: int = 0
+
+    def __post_init__(self):
+        if self.mode not in _MODES:
+            raise ValueError(f"mode is one of {_MODES}, not {self.mode!r}")
+
+
+def start(width: int, c: Config) -> Params:
+    rng = np.random.default_rng(c.seed)
+    wide = lambda a, b: rng.normal(size=(a, b)) / np.sqrt(a)
+    return {"w": wide(width, c.hidden), "q": rng.normal(size=c.hidden) * 0.1, "g": np.zeros(c.hops + 1), "wm": wide(c.hidden, c.latent), "bm": np.zeros(c.latent), "wv": wide(c.hidden, c.latent) * 0.1, "bv": np.zeros(c.latent), "wd": wide(c.latent, width), "bd": np.zeros(width), "token": np.zeros(width)}
+
+
+def encode(s: np.ndarray, p: Params, mode: str) -> tuple[np.ndarray, ...]:
+    """Hop projections, hop weights, their mix, its activation, mean and log variance (before the clamp)."""
+    h = s @ p["w"]
+    if mode == "adaptive":
+        score = np.tanh(h) @ p["q"]
+    else:
+        score = np.broadcast_to(p["g"] if mode == "global" else np.zeros(s.shape[1]), s.shape[:2])
+    e = np.exp(score - score.max(1, keepdims=True))
+    a = e / e.sum(1, keepdims=True)
+    mix = np.einsum("nk,nkh->nh", a, h)
+    act = np.where(mix > 0, mix, np.expm1(np.minimum(mix, 0)))
+    return h, a, mix, act, act @ p["wm"] + p["bm"], act @ p["wv"] + p["bv"]
+
+
+def loss_and_gradients(s: np.ndarray, masked: np.ndarray, noise: np.ndarray, p: Params, mode: str, beta: float, n_rows: int, n_masked: int) -> tuple[float, Params]:
+    """The share of these rows in the loss over all rows, and its gradients. ``s`` is (rows, hops, width)."""
+    x = s[:, 0, :]
+    inp = s.copy()
+    inp[masked, 0, :] = p["token"]
+    h, a, mix, act, mean, raw = encode(inp, p, mode)
+    lv = np.clip(raw, -8, 8)
+    std = np.exp(0.5 * lv)
+    z = mean + std * noise
+    out = z @ p["wd"] + p["bd"]
+    # cosine error of masked rows
+    nx, no = np.linalg.norm(x, axis=1) + 1e-8, np.linalg.norm(out, axis=1) + 1e-8
+    cos = (x * out).sum(1) / (nx * no)
+    m = masked / max(n_masked, 1)
+    width = x.shape[1]
+    kl = -0.5 * (1 + lv - mean**2 - np.exp(lv))
+    loss = np.sum(m * (1 - cos) ** 2) + 0.1 * np.sum((out - x) ** 2) / (n_rows * width) + beta * np.sum(kl) / n_rows
+    unit = out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    d_cos = (m * -2 * (1 - cos))[:, None]
+    d_out = d_cos * (x / (nx * no)[:, None] - cos[:, None] * unit / no[:, None]) + 0.2 * (out - x) / (n_rows * width)
+    g: Params = {"wd": z.T @ d_out, "bd": d_out.sum(0)}
+    d_z = d_out @ p["wd"].T
+    d_mean = d_z + beta * mean / n_rows
+    d_raw = (d_z * noise * 0.5 * std + beta * -0.5 * (1 - np.exp(lv)) / n_rows) * (np.abs(raw) < 8)
+    g |= {"wm": act.T @ d_mean, "bm": d_mean.sum(0), "wv": act.T @ d_raw, "bv": d_raw.sum(0)}
+    d_mix = (d_mean @ p["wm"].T + d_raw @ p["wv"].T) * np.where(mix > 0, 1.0, np.exp(np.minimum(mix, 0)))
+    d_h = a[:, :, None] * d_mix[:, None, :]
+    d_a = np.einsum("nkh,nh->nk", h, d_mix)
+    d_score = a * (d_a - (a * d_a).sum(1, keepdims=True))
+    g["q"], g["g"] = np.zeros_like(p["q"]), np.zeros_like(p["g"])
+    if mode == "adaptive":
+        t = np.tanh(h)
+        g["q"] = np.einsum("nkh,nk->h", t, d_score)
+        d_h = d_h + d_score[:, :, None] * p["q"] * (1 - t**2)
+    elif mode == "global":
+        g["g"] = d_score.sum(0)
+    g["w"] = np.einsum("nkd,nkh->dh", inp, d_h)
+    g["token"] = (d_h[masked, 0, :] @ p["w"].T).sum(0)
+    return float(loss), g
+
+
+def _draws(ids: np.ndarray, epoch: int, c: Config) -> tuple[np.ndarray, np.ndarray]:
+    """The mask and the noise of rows: the same wherever the rows are."""
+    masked, noise = np.empty(len(ids), bool), np.empty((len(ids), c.latent))
+    for r, i in enumerate(ids.tolist()):
+        rng = np.random.default_rng([c.seed, epoch, i & 0xFFFFFFFFFFFFFFFF])
+        masked[r] = rng.random() < c.mask
+        noise[r] = rng.normal(size=c.latent)
+    return masked, noise
+
+
+def _flat(p: Params) -> np.ndarray:
+    return np.concatenate([p[k].ravel() for k in sorted(p)])
+
+
+def _shaped(v: np.ndarray, like: Params) -> Params:
+    out, at = {}, 0
+    for k in sorted(like):
+        out[k] = v[at : at + like[k].size].reshape(like[k].shape)
+        at += like[k].size
+    return out
+
+
+def hop_stacks(adj: DataFrame, feats: DataFrame, width: int, hops: int, key: str = "spot_id", vector: str = "feat") -> DataFrame:
+    """(spot_id, stack): each row's features after 0 to ``hops`` products, one after the other."""
+    each = graph.multihop(adj, feats, width, hops, vector, key)
+    out = each[0].withColumnRenamed(vector, "_0")
+    for n, h in enumerate(each[1:], 1):
+        out = out.join(h.withColumnRenamed(vector, f"_{n}"), key)
+    return out.select(F.col(key).cast("long").alias(key), F.concat(*[F.col(f"_{n}") for n in range(hops + 1)]).alias("stack"))
+
+
+def fit(stacks: DataFrame, width: int, c: Config, key: str = "spot_id") -> tuple[Params, list[float]]:
+    """The parameters after all epochs, and the loss of each. Cache or write ``stacks`` before."""
+    sc = stacks.sparkSession.sparkContext
+    p = start(width, c)
+    size = len(_flat(p))
+    m1, m2, history = np.zeros(size), np.zeros(size), []
+    rows = stacks.select(key, "stack")
+    n_rows = rows.count()
+    for epoch in range(c.epochs):
+        beta = c.beta * min(1.0, epoch / max(1, c.epochs // 4))
+        shared = sc.broadcast(p)
+
+        def run(batches, shared=shared, epoch=epoch, beta=beta):
+            total = np.zeros(size + 1)
+            for batch in batches:
+                if batch.num_rows:
+                    s = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1, width)
+                    masked, noise = _draws(batch.column(0).to_numpy(), epoch, c)
+                    loss, g = loss_and_gradients(s, masked, noise, shared.value, c.mode, beta, n_rows, max(1, round(c.mask * n_rows)))
+                    total += np.append(_flat(g), loss)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(total)], names=["p", "s"])
+
+        sums = rows.mapInArrow(run, "p long, s double").groupBy("p").agg(F.sum("s").alias("s")).toPandas()
+        grads = np.zeros(size + 1)
+        grads[sums["p"]] = sums["s"]
+        history.append(float(grads[-1]))
+        g = grads[:-1] * min(1.0, c.clip / max(np.linalg.norm(grads[:-1]), 1e-12)) + c.decay * _flat(p)
+        m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
+        step = c.rate * (m1 / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(m2 / (1 - 0.999 ** (epoch + 1))) + 1e-8)
+        p = _shaped(_flat(p) - step, p)
+        shared.unpersist()
+    return p, history
+
+
+def embed(stacks: DataFrame, p: Params, width: int, c: Config, key: str = "spot_id") -> DataFrame:
+    """(spot_id, z, hops): posterior means without a mask, and the hop weights."""
+    shared = stacks.sparkSession.sparkContext.broadcast(p)
+    schema = T.StructType([T.StructField(key, T.LongType()), T.StructField("z", T.ArrayType(T.DoubleType())), T.StructField("hops", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for batch in batches:
+            s = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, c.hops + 1, width)
+            _, a, _, _, mean, _ = encode(s, shared.value, c.mode)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(np.ascontiguousarray(m).ravel())) for m in (mean, a)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=schema.names)
+
+    return stacks.select(key, "stack").mapInArrow(run, schema)

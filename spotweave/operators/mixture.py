@@ -64,9 +64,10 @@ def kmeans(feats: DataFrame, k: int, seed: int = 42, starts: int = 2, rounds: in
             sums = _summed(feats, vector, partial, k * d + k + 1)
             n = sums[k * d : -1]
             centres = np.where(n[:, None] > 0, sums[: k * d].reshape(k, d) / np.maximum(n, 1)[:, None], centres)
-            if cost - sums[-1] <= 1e-9 * max(cost, 1):
-                break
+            settled = np.isfinite(cost) and cost - sums[-1] <= 1e-9 * max(cost, 1)
             cost = sums[-1]
+            if settled:
+                break
         if best is None or cost < best[1]:
             best = (centres, float(cost))
     return best

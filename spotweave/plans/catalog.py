@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spotweave.functions import vectors as V
-from spotweave.operators import experiment, graph, losses, metrics, mixture, neighbours, preprocess, sampling
+from spotweave.operators import autoencoder, experiment, graph, losses, metrics, mixture, neighbours, preprocess, sampling
 from spotweave.plans import fixtures as X
 from spotweave.sources import tables
 
@@ -560,3 +560,21 @@ def tr5_kmeans(s, d):
 def cl1_tied_gmm(s, d):
     feats = _document_pcs(s, d).cache()
     return mixture.predict(feats, mixture.fit_tied(feats, 4)[0])
+
+
+def _trained(s, d, mode):
+    spots, weights, narrow = _weighted(s, d)
+    config = autoencoder.Config(mode=mode)
+    stacks = autoencoder.hop_stacks(graph.normalize_adj(weights, spots), narrow, 30, config.hops).cache()
+    params, _ = autoencoder.fit(stacks, 30, config)
+    return autoencoder.embed(stacks, params, 30, config)
+
+
+@query()
+def tr2_adaptive_vae(s, d):
+    return _trained(s, d, "adaptive")
+
+
+@query()
+def tr4_baseline_vae(s, d):
+    return _trained(s, d, "global")
