@@ -47,7 +47,8 @@ def _weighted(s, d):
     """Spots, their weighted graph over components 3 to 32, and the spots' narrow features."""
     spots = X.spots(s, d)
     narrow = spots.select("spot_id", F.slice("feat", 3, 30).alias("feat"))
-    return spots, graph.expression_weights(graph.spatial_knn(spots, 6), narrow), narrow
+    edges = graph.spatial_knn(spots, 6).cache()  # the graph is used several times below
+    return spots, graph.expression_weights(edges, narrow).cache(), narrow
 
 
 def _xy(spots: DataFrame) -> DataFrame:
@@ -163,7 +164,7 @@ def jn7_spmm(s, d):
 @query(f"WITH {X.GRAPH}, {X.ADJ} SELECT CAST(a.i AS BIGINT) AS i, CAST(b.j AS BIGINT) AS j, round(sum(a.v * b.v), 6) + 0.0 AS v FROM adj a JOIN adj b ON a.j = b.i GROUP BY a.i, b.j")
 def jn8_spgemm(s, d):
     spots, weights, _ = _weighted(s, d)
-    adj = graph.normalize_adj(weights, spots)
+    adj = graph.normalize_adj(weights, spots).cache()
     return graph.spgemm(adj, adj).select(_long("i"), _long("j"), V.r6("v").alias("v"))
 
 
