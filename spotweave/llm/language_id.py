@@ -150,8 +150,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("order"))
     df, n = document_frequency(labelled)
     idf = np.log((1 + n) / (1 + df)) + 1.0
-    # a group limit in each partition goes before the exchange, so a language sends PER_LANGUAGE rows from each at most
-    sample = labelled.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("order", "text"))).where(F.col("rank") <= PER_LANGUAGE).select("lang", "text")
+    # about twice PER_LANGUAGE rows of a language pass the hash, and only they are dealt by language
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    share = F.pmod("order", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    few = labelled.join(F.broadcast(sizes), "lang").where(share * F.col("rows") <= 2.0 * PER_LANGUAGE).drop("rows")  # one row for each language
+    sample = few.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("order", "text"))).where(F.col("rank") <= PER_LANGUAGE).select("lang", "text")
 
     def cluster(part: pd.DataFrame) -> pd.DataFrame:
         found = [c for c in map(counts, part["text"]) if c is not None]
