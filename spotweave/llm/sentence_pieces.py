@@ -12,8 +12,9 @@ piece and where it starts.
   allowed is the one that BPE gives, so one piece at most is allowed to end each prefix, and the search returns the ids
   of the ``sentencepiece`` library. Whether two pieces may be neighbours is worked out once and remembered.
 
-A letter that is no piece becomes the pieces of its UTF-8 bytes. No word reaches over a place where a mark follows
-another letter, as no piece does; that is checked when a model is loaded.
+A letter that is no piece becomes the pieces of its UTF-8 bytes. Words end where no piece can reach over: before a mark
+that follows another letter, and between letters that no piece has side by side; both are worked out of the pieces when
+a model is loaded.
 
 Null texts give null, empty texts no ids. Repeated rows get equal ids. Texts are encoded whole, however long; a single
 word longer than ``LONG_WORD`` letters is walked by itself and not remembered. Tables without rows give none. Columns of
@@ -31,9 +32,9 @@ from pyspark.sql import types as T
 from spotweave.llm import common
 
 MARK = "▁"
-#: Words whose ids a task remembers, letters above which a word isn't remembered.
-REMEMBERED, LONG_WORD = 500_000, 200
-WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Words (and neighbours) that a worker remembers in each of two generations, letters above which a word isn't remembered.
+REMEMBERED, LONG_WORD = 400_000, 200
+LETTERS, SIGNS, SPACES = "A-Za-zÀ-ÖØ-öø-ɏ", ".,;:!?*$%&\"()", "\n\t\r"
 NEVER = float("-inf")
 
 ENCODED = [T.StructField("ids", T.ArrayType(T.IntegerType()))]
@@ -66,9 +67,10 @@ class Pieces:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.longest = max(map(len, self.ids))
         self.ends = self._ends()
-        self.neighbours: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.word = self._splitter()
+        self.neighbours: dict[tuple[str | None, str], bool] = {}
         self.known: dict[str, list[int]] = {}
+        self.before: dict[str, list[int]] = {}
 
     def _ends(self) -> dict[str, list[int]]:
         """For each last letter, the lengths of the pieces that end with it, longest first."""
@@ -77,6 +79,15 @@ class Pieces:
             lengths.setdefault(piece[-1], set()).add(len(piece))
         return {c: sorted(n, reverse=True) for c, n in lengths.items()}
 
+    def _splitter(self) -> re.Pattern:
+        """The pattern of marked words. No merge reaches over their ends: they are cut where no piece has the two letters
+        side by side, that is before a mark, around white space that is no piece, and between letters and those
+        signs that no piece has after a letter."""
+        signs = "".join(c for c in SIGNS if not any(re.search(f"[{LETTERS}]{re.escape(c)}", piece) for piece in self.ids))
+        spaces = "".join(c for c in SPACES if c not in self.ids and not any(c in piece for piece in self.ids)) or "\0"
+        ends = f"[{re.escape(signs)}{MARK}{spaces}]" if signs else f"[{MARK}{spaces}]"
+        return re.compile(f"{MARK}*[{LETTERS}]+(?={ends}|$)|{MARK}*[^{MARK}{spaces}]+|{MARK}+|[{spaces}]+")
+
     # --- which pieces may be neighbours under BPE
 
     def merged(self, text: str) -> list[str]:
@@ -96,16 +107,13 @@ class Pieces:
         """Whether ``right`` may follow ``left`` (None: the start, or a letter that is no piece)."""
         if self.kind == "unigram":
             return True
-        if left is None:
-            found = self.whole.get(right)
-            if found is None:
-                found = self.whole[right] = self.merged(right) == [right]
-            return found
         found = self.neighbours.get((left, right))
         if found is None:
             if len(self.neighbours) > REMEMBERED:
                 self.neighbours.clear()
-            found = self.neighbours[left, right] = self.allowed(None, right) and self.merged(left + right) == [left, right]
+            alone = left is None or self.allowed(None, right)
+            found = alone and self.merged((left or "") + right) == ([right] if left is None else [left, right])
+            self.neighbours[left, right] = found
         return found
 
     # --- the search
@@ -127,20 +135,31 @@ class Pieces:
 
     def _extend(self, states: list, word: str, done: int) -> None:
         """Add the forward states of the letters after the first ``done``."""
-        ids, scores = self.ids, self.scores
+        scores, neighbours, one_way = self.scores, self.neighbours, self.kind == "bpe"
         for end in range(done + 1, len(word) + 1):
+            letter = word[end - 1]
+            if letter not in scores:  # it becomes bytes
+                states.append((states[end - 1][0], None, end - 1))
+                continue
             best: tuple[float, str | None, int] = (NEVER, None, -1)
-            for n in self.ends.get(word[end - 1], ()):
+            for n in self.ends[letter]:
                 start = end - n
                 if start < 0:
                     continue
                 piece = word[start:end]
-                if piece in ids:
-                    score, last, _ = states[start]
-                    if score > NEVER and score + scores[piece] > best[0] and self.allowed(last, piece):
-                        best = (score + scores[piece], piece, start)
-            if word[end - 1] not in ids:  # the letter becomes bytes
-                best = (states[end - 1][0], None, end - 1)
+                own = scores.get(piece)
+                if own is None:
+                    continue
+                score, last, _ = states[start]
+                if score == NEVER:
+                    continue
+                fits = neighbours.get((last, piece))
+                if fits is None:
+                    fits = self.allowed(last, piece)
+                if fits and score + own > best[0]:
+                    best = (score + own, piece, start)
+                    if one_way:  # no other piece can be allowed here
+                        break
             states.append(best)
 
     def _trace(self, states: list, word: str) -> list[int]:
@@ -160,12 +179,14 @@ class Pieces:
     # --- texts
 
     def encode(self, texts: list[str | None]) -> list[list[int] | None]:
-        split = [None if t is None else WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        split = [None if t is None else self.word.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         new = set().union(*(s for s in split if s)).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
+        if len(self.known) + len(new) > REMEMBERED:  # common words move on from the generation before
+            self.before, self.known = self.known, {}
             new = set().union(*(s for s in split if s))
-        self.encode_sorted(sorted(new))
+        again = new.intersection(self.before)
+        self.known.update((w, self.before[w]) for w in again)
+        self.encode_sorted(sorted(new.difference(again)))
         known, out = self.known, []
         for words in split:
             if words is None:
@@ -192,11 +213,22 @@ class Pieces:
         return joined[1:] if joined[:1] == " " else joined
 
 
+_LOADED: dict[tuple[str, str], Pieces] = {}
+
+
+def loaded(path: str, kind: str) -> Pieces:
+    """The pieces of a file, loaded once in a worker process: what it remembers of words serves all its tasks."""
+    if (path, kind) not in _LOADED:
+        _LOADED.clear()
+        _LOADED[path, kind] = Pieces(path, kind)
+    return _LOADED[path, kind]
+
+
 def encode(docs: DataFrame, model_path: str, text: str = "text", kind: str = "bpe") -> DataFrame:
     """``docs`` with ``ids``, the pieces of ``text``."""
 
     def start():
-        pieces = Pieces(model_path, kind)
+        pieces = loaded(model_path, kind)
 
         def make(part: pa.RecordBatch, at: int) -> list:
             return [pieces.encode(part.column(at).to_pylist())]
@@ -214,7 +246,7 @@ def decode(docs: DataFrame, model_path: str, ids: str = "ids", kind: str = "bpe"
     at, keep = docs.columns.index(ids), [docs.columns.index(c) for c in kept.columns]
 
     def run(batches):
-        pieces = Pieces(model_path, kind)
+        pieces = loaded(model_path, kind)
         for batch in batches:
             made = [pieces.decode(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(made, pa.string())], names=schema.names)
@@ -226,7 +258,7 @@ def encode_and_decode(docs: DataFrame, model_path: str, text: str = "text", kind
     """``docs`` with ``ids`` and ``decoded`` in one pass over the texts."""
 
     def start():
-        pieces = Pieces(model_path, kind)
+        pieces = loaded(model_path, kind)
 
         def make(part: pa.RecordBatch, at: int) -> list:
             ids = pieces.encode(part.column(at).to_pylist())
