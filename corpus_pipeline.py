@@ -6,6 +6,7 @@ reads it again as the next one's documents. All stages but the last return the c
 * language: the model learns from all labelled rows of its input; rows that it rejects go (no letter, or too far from
   each centroid).
 * lines: lines on ``line_dedup.MIN_SITES`` sources or more are taken out of the texts, and ``n_chars`` follows; rows stay.
+  Lines that are on so many sources only by copies or near copies of whole documents stay, for the next stage to judge.
 * near duplicates: of documents linked by sets of 5-word shingles similar by 0.8 or more, that with the smallest id stays.
 * benchmark: documents that hold a window of a benchmark item go.
 * pieces: ``ids`` of the pieces of each text, and whether they decode to it.
@@ -36,7 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without boilerplate lines."""
     renamed = docs.select(*[F.col(c).alias(f"_own_{c}") for c in docs.columns])
-    cleaned = line_dedup.remove_boilerplate(renamed, "_own_text", "_own_source")
+    cleaned = line_dedup.remove_boilerplate(renamed, "_own_text", "_own_source", copies_apart=True)
     shorter = F.when(F.col("n_removed") > 0, F.length("_own_text").cast("long"))
     return cleaned.select(*[(F.coalesce(shorter, F.col("_own_n_chars")) if c == "n_chars" else F.col(f"_own_{c}")).alias(c) for c in docs.columns])
 

@@ -8,6 +8,11 @@
    keyed by the text's hash: copies share it. It is a written table, so Spark can send it to all tasks where it is
    small, and can split a hot text's rows where it is not.
 
+With ``copies_apart`` a line that is on many sites only because a document was copied there stays, and the copies are
+left to a later stage. Among the lines of step 2 each differing text counts for one of its sites, picked by hash, and
+only texts that keep ``OWN`` of their characters count: of a group of near copies on many sites nearly all lines are
+on many sites, while a page with boilerplate has lines of its own.
+
 Lines are what ``\\n`` separates; equal lines are equal byte for byte. All hashes have 128 bits. Empty lines are never
 boilerplate and stay. A null site is no site; a null text stays null and has no lines; a text that loses all its lines
 becomes empty, and its row stays. Repeated rows count as one site and are all cleaned. A table without rows gives none.
@@ -25,6 +30,8 @@ from spotweave.llm import common
 
 #: Sites from which a line is boilerplate; log2 of a sketch's registers; share of the threshold that counts as near it.
 MIN_SITES, LG_K, BAND = 10, 12, 0.1
+#: Share of the characters of a text's differing lines that must be on lines on fewer sites, where copies are told apart.
+OWN = 0.5
 
 
 def _hash(x: Column) -> list[Column]:
@@ -55,9 +62,29 @@ def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_s
     return common.written(spread.where(F.col("sites") >= high).select("a", "b").unionByName(exact.select("a", "b")))
 
 
-def remove_boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+def without_copies(docs: DataFrame, lines: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+    """Those of ``lines`` (``a``, ``b``) that stand on ``min_sites`` sites or more by one site of each text with enough lines of its own."""
+    known = docs.where(F.col(site).isNotNull() & F.col(text).isNotNull()).select(F.col(site).cast("string").alias("site"), _pair(F.col(text), "key"), F.array_distinct(F.split(text, "\n", -1)).alias("parts"))
+    size = F.aggregate("parts", F.lit(0).cast("long"), lambda n, line: n + F.length(line))
+    each = known.select("site", "key", size.alias("size"), F.explode("parts").alias("_line")).where("_line <> ''")
+    a, b = _hash(F.col("_line"))
+    at = each.select("site", "key", "size", F.length("_line").alias("own"), a.alias("a"), b.alias("b")).join(lines, ["a", "b"], "left_semi")
+    picked = F.min(F.struct(F.xxhash64("site", "key"), "site"))
+    of_text = common.written(at.groupBy("key", "a", "b").agg(picked["site"].alias("site"), F.first("own").alias("own"), F.first("size").alias("size")))
+
+    def spread(rows: DataFrame) -> DataFrame:
+        return rows.select("a", "b", "site").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= min_sites).select("a", "b")
+
+    taken = of_text.join(common.written(spread(of_text)), ["a", "b"], "left_semi").groupBy("key").agg(F.sum("own").alias("taken"), F.first("size").alias("size"))
+    hosts = common.written(taken.where(F.col("size") - F.col("taken") >= OWN * F.col("size")).select("key"))
+    return common.written(spread(of_text.join(hosts, "key", "left_semi")))
+
+
+def remove_boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES, copies_apart: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and ``n_lines`` (not empty) and ``n_removed``."""
     lines = boilerplate(docs, text, site, min_sites)
+    if copies_apart:
+        lines = without_copies(docs, lines, text, site, min_sites)
     hits = line_hashes(docs.where(F.col(text).isNotNull()), text, _pair(F.col(text), "key")).join(lines, ["a", "b"], "left_semi")
     of_text = common.written(hits.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("bad")).select(F.col("key.a").alias("_ka"), F.col("key.b").alias("_kb"), F.col("bad").alias("_bad")))
 

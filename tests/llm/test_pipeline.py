@@ -1,5 +1,7 @@
 """The pipeline's stages, one after the other, each against brute force on its own input."""
 
+import random
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -49,3 +51,25 @@ def test_pipeline_of_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = common.written(stage(spark, empty, SF))
     assert empty.count() == 0
+
+
+def test_copied_documents_leave_the_pipeline_once(spark):
+    rng = random.Random(3)
+    words = [r.text.split()[0] for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en' and text <> ''").orderBy("doc_id").limit(60).collect()]
+    line = lambda: " ".join(rng.choices(words, k=12)) + f" {rng.random()}"
+    copied, near = [line() for _ in range(30)], [line() for _ in range(30)]
+    menu = [line() for _ in range(3)]
+    rows = [(i, "\n".join(copied), f"s{i % 20}") for i in range(40)]
+    for i in range(40, 100):  # one line of each is changed
+        rows.append((i, "\n".join(x if k != i % 30 else x + f" more{i}" for k, x in enumerate(near)), f"s{i % 20}"))
+    rows += [(i, "\n".join([*menu, *[line() for _ in range(10)]]), f"s{i % 20}") for i in range(100, 160)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    texts = {i: t for i, t, _ in rows}
+    cleaned = common.written(corpus_pipeline.lines(spark, docs, SF))
+    for r in cleaned.collect():
+        lines = texts[r.doc_id].split("\n")
+        assert r.text.split("\n") == (lines if r.doc_id < 100 else lines[3:])
+        assert r.n_chars == len(r.text)
+    left = {r.doc_id: r.text for r in corpus_pipeline.near_duplicates(spark, cleaned, SF).collect()}
+    assert {i for i in left if i < 100} == {0, 40} and left[0] == texts[0] and left[40] == texts[40]
+    assert len([i for i in left if i >= 100]) == 60
