@@ -4,8 +4,9 @@ A text is lower-cased, all that is no letter becomes a blank, and the byte n-gra
 hashed to ``BUCKETS`` counts. Counts are damped (log), weighted by inverse document frequency and normalised, and the
 vector is compared by cosine with several centroids of each language, found by spherical k-means over a sample of
 labelled rows. The nearest centroid gives the language and the cosine the score. A text is rejected where the distance
-to it is larger than that centroid's radius: what ``SLACK`` leaves of the smallest cosine among the sample's texts of
-about the same length that fell to the centroid.
+to it is larger than that centroid's radius: what ``SLACK`` leaves of the cosine that all but ``LOW`` of the sample's
+texts of about the same length reach, of those that fell to the centroid if they are ``FEW`` or more, else of those of
+its language; where these are fewer too, the radius is wider.
 
 Bounds: ``PER_LANGUAGE`` rows of each language, those with the smallest hashes of id and text, make the centroids;
 document frequencies come from all labelled rows that may be learnt from. The model has one float for each bucket and
@@ -36,7 +37,10 @@ BUCKETS = 1 << 13
 #: Labelled rows of a language that make its centroids, centroids of a language, rounds of k-means.
 PER_LANGUAGE, CENTROIDS, ROUNDS = 800, 4, 12
 #: Share of a radius' cosine that a text may fall to, and upper ends of the length classes (n-grams of the first order).
-SLACK, LENGTHS = 0.35, (32, 128, 512, 2048)
+SLACK, LENGTHS = 0.85, (32, 128, 512, 2048)
+#: Share of the sample's texts that may be farther away, texts that a radius of its own needs, and what is left of the
+#: cosine of a class with fewer texts, or of the next longer one's for a class without texts: shorter texts are farther away.
+LOW, FEW, SHORTER = 0.01, 20, 0.5
 UNKNOWN = "und"
 
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType()), T.StructField("has_letter", T.BooleanType())]
@@ -83,6 +87,19 @@ def length_class(total: np.ndarray) -> int:
     return int(np.searchsorted(LENGTHS, total.sum() / len(ORDERS)))
 
 
+def by_length(known: list[float | None]) -> list[float]:
+    """The cosine of each length class from those of the classes that have texts: no class is held to more than a longer one."""
+    last = next((x for x in reversed(known) if x is not None), 0.0)  # classes longer than all texts
+    out, longer = [], False
+    for x in reversed(known):
+        if x is not None:
+            last, longer = min(last, x), True
+        elif longer:
+            last *= SHORTER
+        out.append(last)
+    return out[::-1]
+
+
 def document_frequency(labelled: DataFrame) -> tuple[np.ndarray, int]:
     """For each bucket the documents of ``labelled`` (column ``text``) that hold it, and all documents with letters."""
 
@@ -166,14 +183,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         cosines = np.einsum("ij,ij->i", vectors, centres[own])
         radii = []
         for j in range(len(centres)):
-            least = [min(cosines[(own == j) & (classes == c)], default=np.nan) for c in range(len(LENGTHS) + 1)]
-            known = [x for x in least if x == x]
-            # a class without rows takes the next longer one's radius at most: shorter texts are farther away
-            filled, last = [], min(known, default=0.0)
-            for x in reversed(least):
-                last = min(last, x) if x == x else last
-                filled.append(SLACK * max(0.0, float(last)))
-            radii.append(filled[::-1])
+            known = []
+            for c in range(len(LENGTHS) + 1):
+                every, mine = cosines[classes == c], cosines[(own == j) & (classes == c)]
+                rows = mine if len(mine) >= FEW else every
+                known.append(float(np.quantile(rows, LOW)) * (1.0 if len(rows) >= FEW else SHORTER) if len(rows) else None)
+            radii.append([SLACK * max(0.0, x) for x in by_length(known)])
         return pd.DataFrame({"lang": part["lang"].iloc[0], "at": range(len(centres)), "centroid": [c.astype(np.float32).tobytes() for c in centres], "radii": radii})
 
     rows = sample.groupBy("lang").applyInPandas(cluster, "lang string, at int, centroid binary, radii array<double>").orderBy("lang", "at").collect()

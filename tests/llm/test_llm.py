@@ -52,6 +52,26 @@ def test_language_held_out_accuracy_and_rejection(spark):
     assert odd[8].rejected and odd[8].lang_pred in model.names  # thirty thousand times one letter
 
 
+def test_language_rejects_long_texts_of_none(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    model = language_id.fit(docs.where(~held))
+    clean = [r for r in model.predict([r.text for r in docs.where(held).collect()]) if r[3]]
+    assert np.mean([r[2] for r in clean]) <= 0.02
+    rng = random.Random(1)
+    unlearned = [
+        "nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita ah quanto a dir qual era è cosa dura questa selva selvaggia e aspra e forte che nel pensier rinova la paura",
+        "vaka vanha väinämöinen itse tuon sanoiksi virkki mieleni minun tekevi aivoni ajattelevi lähteäni laulamahan saa'ani sanelemahan sukuvirttä suoltamahan lajivirttä laulamahan",
+        "litwo ojczyzno moja ty jesteś jak zdrowie ile cię trzeba cenić ten tylko się dowie kto cię stracił dziś piękność twą w całej ozdobie",
+    ]
+    letters = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(2000)]
+    texts = [" ".join(rng.choices(words, k=n)) for words in (letters, *map(str.split, unlearned)) for n in (60, 250, 800)]
+    assert all(rejected for _, _, rejected, _ in model.predict(texts))
+    # classes keep radii of their own; those without texts follow from the next ones
+    assert language_id.by_length([0.2, 0.4, 0.6, 0.5, 0.9]) == [0.2, 0.4, 0.5, 0.5, 0.9]
+    assert language_id.by_length([None, 0.4, None, 0.8, None]) == [0.2, 0.4, 0.4, 0.8, 0.8]
+
+
 def test_language_without_rows_or_labels(spark):
     model = language_id.fit(no_docs(spark))
     assert language_id.identify(no_docs(spark), model).count() == 0
