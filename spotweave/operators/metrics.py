@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from spotweave.operators import neighbours
 
+#: Rows of a block where all rows are held against all.
+BLOCK_ROWS = 4000
+
 
 def labelled_only(rows: DataFrame, truth: str = "truth") -> DataFrame:
     return rows.where(F.col(truth).isNotNull())
@@ -64,14 +67,59 @@ def mixing(feats: DataFrame, k: int = 30, key: str = "spot_id", vector: str = "f
     return counts.groupBy("i").agg((F.sum("c") * F.sum("c") / F.sum(F.col("c") * F.col("c"))).alias("ilisi"))
 
 
-def silhouette(rows: DataFrame, sample: int = 5000, seed: int = 0, key: str = "spot_id", vector: str = "feat", label: str = "pred") -> DataFrame:
-    """One row (silhouette): the mean over a sample of at most ``sample`` rows, by Euclidean distance within it.
+def silhouette_of_all(rows: DataFrame, key: str = "spot_id", vector: str = "feat", label: str = "pred", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row (silhouette): the mean over all rows, by Euclidean distance to all others.
+
+    Rows are dealt to blocks by hash, and each pair of blocks is one group of two times ``block_rows`` rows or so; what a
+    row adds up for each label is merged by aggregation.
+    """
+    import numpy as np
+    import pandas as pd
+
+    blocks = max(1, -(-rows.count() // block_rows))
+    copies = W.partitionBy(key).orderBy(F.col(label).cast("string"), vector)  # rows with the same key are rows of their own
+    numbered = rows.select(key, F.col(label).cast("string").alias("l"), F.col(vector).cast("array<double>").alias("v"), F.row_number().over(copies).alias("copy"))
+    dealt = numbered.select(F.struct(F.col(key).alias("k"), "copy").alias("r"), "l", "v", F.pmod(F.xxhash64(key, "copy"), F.lit(blocks)).cast("int").alias("own")).select(F.to_json("r").alias("r"), "l", "v", "own")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = dealt.select("r", "l", "v", F.col("own").alias("q"), every.alias("p"))
+    right = dealt.select("r", "l", "v", F.col("own").alias("p"), every.alias("q"))
+
+    def add_up(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            names, codes = np.unique(b["l"].fillna("None").to_numpy().astype(str), return_inverse=True)
+            x, y, other = np.array(a["v"].tolist()), np.array(b["v"].tolist()), b["r"].to_numpy()
+            middle = y.mean(axis=0)  # so that far-off points lose no digits
+            x, y = x - middle, y - middle
+            member = (codes[:, None] == np.arange(len(names))).astype(float)
+            for at in range(0, len(a), 500):
+                part = x[at : at + 500]
+                d = np.sqrt(np.maximum(np.sum(part**2, axis=1)[:, None] + np.sum(y**2, axis=1) - 2 * part @ y.T, 0.0))
+                d[a["r"].to_numpy()[at : at + 500, None] == other] = 0.0
+                sums = d @ member
+                out.append(pd.DataFrame({"r": np.repeat(a["r"].to_numpy()[at : at + 500], len(names)), "l": np.repeat(a["l"].fillna("None").to_numpy()[at : at + 500], len(names)), "other": np.tile(names, len(part)), "s": sums.ravel(), "n": np.tile(member.sum(axis=0), len(part))}))
+        return pd.concat(out) if out else pd.DataFrame({"r": [], "l": [], "other": [], "s": [], "n": []})
+
+    parts = left.groupBy("q", "p").cogroup(right.groupBy("q", "p")).applyInPandas(add_up, "r string, l string, other string, s double, n double")
+    sums = parts.groupBy("r", "l", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    a = F.max(F.when((F.col("l") == F.col("other")) & (F.col("n") > 1), F.col("s") / (F.col("n") - 1)))
+    b = F.min(F.when(F.col("l") != F.col("other"), F.col("s") / F.col("n")))
+    each = sums.groupBy("r").agg(a.alias("a"), b.alias("b"))
+    most = F.greatest("a", "b")
+    width = F.when(F.col("a").isNull() | F.col("b").isNull() | (most <= 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / most)
+    return each.agg(F.avg(width).alias("silhouette"))
+
+
+def silhouette(rows: DataFrame, sample: int | None = 5000, seed: int = 0, key: str = "spot_id", vector: str = "feat", label: str = "pred") -> DataFrame:
+    """One row (silhouette): the mean over a sample of at most ``sample`` rows, by Euclidean distance within it; None: all rows.
 
     The sample is the reference side too, as the measure is defined; it has ``sample`` rows at most and is broadcast.
     """
     import numpy as np
     import pyarrow as pa
 
+    if sample is None:
+        return silhouette_of_all(rows, key, vector, label)
     picked = rows.select(F.col(label).cast("string").alias("l"), F.col(vector).cast("array<double>").alias("v"), F.xxhash64(key, F.lit(seed)).alias("h"), key).orderBy("h", key).limit(sample).select("l", "v").cache()
     shared = rows.sparkSession.sparkContext.broadcast(picked.toPandas())  # sample rows
 

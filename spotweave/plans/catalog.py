@@ -240,7 +240,7 @@ ab AS (SELECT i, max(CASE WHEN own = other THEN s / (n - 1) END) AS a, min(CASE
 
 @query(f"WITH {_SIL} SELECT round(avg((b - a) / greatest(a, b)), 6) + 0.0 AS silhouette FROM ab")
 def mt4_silhouette(s, d):
-    return metrics.silhouette(X.spots(s, d)).select(V.r6("silhouette").alias("silhouette"))
+    return metrics.silhouette(X.spots(s, d), sample=None).select(V.r6("silhouette").alias("silhouette"))
 
 
 @query(f"WITH {X.SPOTS}, {X.near_feat(30)}, c AS (SELECT near.i, s.batch, CAST(count(*) AS DOUBLE) AS c FROM near JOIN spots s ON s.i = near.j GROUP BY 1, 2) SELECT CAST(i AS BIGINT) AS i, round(sum(c) * sum(c) / sum(c * c), 6) + 0.0 AS ilisi FROM c GROUP BY i")
@@ -251,7 +251,7 @@ def mt5_ilisi(s, d):
 @query(f"WITH {_CELLS}, {_SIL.replace(X.SPOTS + ', ', '')} SELECT {_ARI}, {_NMI}, {_FMS}, (SELECT round(avg((b - a) / greatest(a, b)), 6) + 0.0 FROM ab) AS sc FROM t, pa, pb".replace("a AS (SELECT sum(n) AS s FROM cells GROUP BY truth)", "ta AS (SELECT sum(n) AS s FROM cells GROUP BY truth)").replace("AS ha FROM a)", "AS ha FROM ta)"))
 def mt6_evaluate(s, d):
     spots = X.spots(s, d)
-    both = metrics.agreement(spots).crossJoin(metrics.silhouette(spots))  # one row each
+    both = metrics.agreement(spots).crossJoin(metrics.silhouette(spots, sample=None))  # one row each
     return both.select(V.r6("ari").alias("ari"), V.r6("nmi").alias("nmi"), V.r6("fms").alias("fms"), V.r6("silhouette").alias("sc"))
 
 

@@ -256,3 +256,20 @@ def test_autoencoder_learns_from_rows_in_any_partition(spark):
     assert len(rows) == 60 and all(abs(sum(r.hops) - 1) < 1e-9 and len(r.z) == 4 for r in rows)
     with pytest.raises(ValueError, match="mode"):
         ae.Config(mode="other")
+
+
+def test_silhouette_of_more_rows_than_the_sample(spark):
+    rng = np.random.default_rng(4)
+    x, label = rng.normal(size=(5600, 3)), rng.integers(0, 3, 5600)
+    x[label == 1] += 2.0
+    feats = spark.createDataFrame([(i, v.tolist(), int(l)) for i, (v, l) in enumerate(zip(x, label, strict=True))], "spot_id long, feat array<double>, pred long")
+    s = []
+    for i in range(len(x)):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        sums, sizes = np.bincount(label, weights=d), np.bincount(label)
+        a = sums[label[i]] / (sizes[label[i]] - 1)
+        b = min(sums[k] / sizes[k] for k in range(3) if k != label[i])
+        s.append((b - a) / max(a, b))
+    assert metrics.silhouette(feats, sample=None).first()[0] == pytest.approx(np.mean(s), abs=1e-9)
+    few = feats.limit(300).cache()
+    assert metrics.silhouette_of_all(few, block_rows=70).first()[0] == pytest.approx(metrics.silhouette(few).first()[0], abs=1e-9)
