@@ -6,6 +6,7 @@ text at least, so the memory of a Python worker follows the longest text and not
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,9 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows in an Arrow batch from the JVM, and bytes of text that a function sees at once.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch from the JVM (one row at least), and bytes of text that a function sees at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 SLICE_BYTES = 4 << 20
+#: Rows of two numbers that may be broadcast; their count is checked before.
+SMALL = 1_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -34,23 +37,52 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         held = sc._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
-    if not base:  # one machine, as in tests
-        base = tempfile.mkdtemp(prefix="spotweave-")
+    if not base:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir isn't set: a cluster's tasks need a folder that they share")
+        base = tempfile.mkdtemp(prefix="spotweave-")  # one machine, as in tests
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/spotweave-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: it outlives executors and has no lineage."""
+#: The folders that each open scope of ``passing`` deletes at its end.
+_PASSING: list[list[str]] = []
+
+
+def written(df: DataFrame, keep: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: it outlives executors and has no lineage.
+
+    Inside a scope of ``passing`` the table is deleted at the scope's end, but for those to ``keep``.
+    """
     spark = df.sparkSession
     folder = shared_folder(spark)
+    if _PASSING and not keep:
+        _PASSING[-1].append(folder)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """A scope whose written tables are needed until its end only."""
+    _PASSING.append([])
+    try:
+        yield
+    finally:
+        for folder in _PASSING.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A written table of few columns, to be broadcast if its rows are few."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Let the JVM send Arrow batches of few rows, as texts can be long."""
+    """Let the JVM send Arrow batches of few rows and bytes, as texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 # --- columns from Arrow functions ---------------------------------------------------------------------------
@@ -165,18 +197,20 @@ def salted_min(df: DataFrame, keys: list[str], value: str, out: str, salt: Colum
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``label`` for each node of ``edges`` (columns ``a`` and ``b``, a < b): the smallest node reachable.
 
-    Each round, a node takes the smallest label among its own and its neighbours', and then its label's label.
-    The table of labels is written each round; the rounds follow the logarithm of the longest path.
+    Each round, a node takes the smallest label among its own and its neighbours', and then its label's label. The
+    tables of labels are written; the rounds follow the logarithm of the longest path. Labels that are looked up are
+    one row for each component so far; they are broadcast where they are few, so a component with a third of all nodes
+    isn't dealt to one task by its label.
     """
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "low").alias("label"))
-        step = written(step)
-        up = step.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        after = written(step.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("top", "label")).alias("label")))
-        changed = after.where(F.col("label") != F.col("old")).limit(1).count()
+        step = written(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "low").alias("label")))
+        heads = step.select("label").distinct()
+        up = written(heads.join(step.select("node", F.col("label").alias("top")), F.col("node") == heads["label"]).select(heads["label"], "top"))
+        after = written(step.join(sized(up), "label", "left").select("node", "old", F.least("label", F.coalesce("top", "label")).alias("label")))
+        changed = not after.where(F.col("label") != F.col("old")).isEmpty()
         labels = after.select("node", "label")
         if not changed:
             return labels

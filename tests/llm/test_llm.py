@@ -295,6 +295,37 @@ def test_groups_of_odd_tables(spark):
     assert sorted(str(r.doc_id) for r in jaccard_join.one_of_each(docs).collect()) == ["7", "None", "None"]
 
 
+def test_an_id_on_several_texts_keeps_each_of_them(spark):
+    a, b, c = ("one two three four five six seven", "other words that are like nothing else here", "and a third text of seven words")
+    rows = [(7, a, None, None), (9, a, None, None), (9, b, None, None), (9, b, None, None), (11, c, None, None), (12, "", None, None), (12, b, None, None)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("label", F.lit("clash")).withColumn("_node", F.lit("clash")).withColumn("N", F.lit(1))
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(7, a), (9, b), (11, c), (12, "")]
+
+
+def test_groups_of_very_long_texts_and_of_a_large_family(spark):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(4000)]
+    long = rng.choices(vocab, k=60000)
+    cut = [*long[:40000], "new", *long[40001:]]
+    far = rng.choices(vocab, k=60000)
+    base = rng.choices(vocab, k=150)
+    family = []
+    for _ in range(260):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 2, 3, 3, 4, 5, 9])):
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+        family.append(" ".join(w))
+    texts = [" ".join(long), " ".join(cut), " ".join(far), "x" * 300000, "x" * 300000 + " y", *family]
+    docs = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], DOCS)
+    for words, num in ((3, 90), (5, 80)):
+        sizes, roots = groups_by_force(texts, words, num, 100)
+        got = {r.id: r for r in jaccard_join.similar_groups(docs, words=words, num=num).collect()}
+        assert [got[i].n_shingles for i in range(len(texts))] == sizes
+        assert [got[i].component_id for i in range(len(texts))] == roots
+
+
 # --- licences
 
 
