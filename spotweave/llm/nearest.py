@@ -1,15 +1,16 @@
 """Approximate nearest neighbours by cosine: an NN-descent graph and greedy search on it.
 
-1. Rows with equal vectors are one node (its id: the smallest row id), so a common vector is one node and no group of
-   copies is looked at pair by pair.
+1. Rows whose vectors have one direction (unit vectors equal to 12 digits) are one node (its id: the smallest row id), so a
+   common vector is one node and no group of copies is looked at pair by pair.
 2. The start: nodes are dealt by hash into buckets of about ``BUCKET``, twice, and take near ones of their buckets.
 3. NN-descent: each round joins every node with its neighbours and those that have it as a neighbour (``NEIGHBOURS`` of
    them at most, a hashed sample, as the method has it); the members of such a list are neighbours of neighbours of each
-   other. They are compared in one product, and pairs better than the worst neighbour that either has so far
-   are merged into the graph. The graph is a written table of (u, w, s) each round. Rounds end when few
-   edges change, or after ``ROUNDS``.
+   other. They are compared in one product where one of the two came to the list in the last round, and pairs better
+   than the worst neighbour that either has so far are merged into the graph. The graph is a written table of (u, w, s)
+   each round. Rounds end when few edges change, or after ``ROUNDS``.
 4. Greedy search: a query starts at its own node and its neighbours. Each hop expands the best ``EXPAND`` nodes of its
-   best ``BEAM`` that it has not expanded, and scores all their neighbours.
+   best ``BEAM`` that it has not expanded, and scores all their neighbours. It ends when all of every query's best ``BEAM``
+   are expanded.
 5. The best ``RESCORED`` are scored again in double precision on the original vectors; nodes are replaced by their rows.
 
 All rows are indexed; nothing is fitted on a sample. Where the nodes' vectors take ``SHARED_BYTES`` at most they are
@@ -36,8 +37,8 @@ from spotweave.llm import common
 #: Neighbours in the graph, nodes in a starting bucket, most rounds, the share of changed edges to end at, and the
 #: pairs that a list may offer each of its members in a round.
 NEIGHBOURS, BUCKET, ROUNDS, CHANGED, OFFERED = 32, 256, 8, 0.02, 6
-#: Of the search: nodes kept in view, nodes expanded in a hop, hops, nodes scored again.
-BEAM, EXPAND, HOPS, RESCORED = 64, 32, 4, 24
+#: Of the search: nodes kept in view, nodes expanded in a hop, nodes scored again.
+BEAM, EXPAND, RESCORED = 128, 32, 24
 #: Bytes of vectors that may be broadcast.
 SHARED_BYTES = 64 << 20
 
@@ -88,7 +89,7 @@ class Vectors:
 
 
 def _offers(lists: DataFrame, read: Callable, offered: int) -> DataFrame:
-    """(u, w, s) of the best pairs in each list (``members``: structs of ``m``, ``worst`` and ``unit``)."""
+    """(u, w, s) of the best pairs in each list (``members``: structs of ``m``, ``worst``, ``new`` and ``unit``) with a new member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,6 +98,7 @@ def _offers(lists: DataFrame, read: Callable, offered: int) -> DataFrame:
             members = column.flatten()
             ids = members.field("m").to_numpy(zero_copy_only=False)
             worst = members.field("worst").to_numpy(zero_copy_only=False)
+            new = members.field("new").to_numpy(zero_copy_only=False) > 0
             units = read(ids, members.field("unit"))
             us, ws, ss = [], [], []
             for a, b in zip(offsets[:-1] - offsets[0], offsets[1:] - offsets[0], strict=True):
@@ -104,6 +106,7 @@ def _offers(lists: DataFrame, read: Callable, offered: int) -> DataFrame:
                     continue
                 near = units[a:b] @ units[a:b].T
                 np.fill_diagonal(near, -9.0)
+                near[~(new[a:b, None] | new[None, a:b])] = -9.0
                 n = min(offered, b - a - 1)
                 at = np.argpartition(-near, n - 1, axis=1)[:, :n]
                 s = np.take_along_axis(near, at, 1)
@@ -127,7 +130,7 @@ def _nearest(edges: DataFrame, k: int) -> DataFrame:
 
 
 def _member(node: str = "m") -> Column:
-    return F.struct(F.col(node).alias("m"), "worst", "unit")
+    return F.struct(F.col(node).alias("m"), "worst", "new", "unit")
 
 
 def build_graph(vectors: Vectors, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS) -> DataFrame:
@@ -136,18 +139,19 @@ def build_graph(vectors: Vectors, neighbours: int = NEIGHBOURS, rounds: int = RO
     buckets = max(1, -(-vectors.size // BUCKET))
     start = None
     for seed in (1, 2):
-        dealt = vectors.attach(vectors.units.select(F.col("id").alias("m")), "m", "unit").withColumn("worst", F.lit(-9.0).cast("float"))
+        dealt = vectors.attach(vectors.units.select(F.col("id").alias("m")), "m", "unit").withColumns({"worst": F.lit(-9.0).cast("float"), "new": F.lit(1)})
         lists = dealt.groupBy(F.pmod(F.xxhash64("m", F.lit(seed)), F.lit(buckets)).alias("v")).agg(F.collect_list(_member()).alias("members"))
         offers = _offers(lists, read, max(1, neighbours // 2))
         start = offers if start is None else start.unionByName(offers)
-    graph = _nearest(start.withColumn("fresh", F.lit(0)), neighbours)
+    graph = _nearest(start.withColumn("fresh", F.lit(1)), neighbours)
     for turn in range(rounds):
-        ends = graph.select(F.col("u").alias("v"), F.col("w").alias("m"))
+        ends = graph.select(F.col("u").alias("v"), F.col("w").alias("m"), F.col("fresh").alias("new"))
         sample = W.partitionBy("v").orderBy(F.xxhash64("m", F.lit(turn)), "m")
-        back = graph.select(F.col("w").alias("v"), F.col("u").alias("m")).withColumn("rank", F.row_number().over(sample)).where(F.col("rank") <= neighbours).drop("rank")
+        back = graph.select(F.col("w").alias("v"), F.col("u").alias("m"), F.col("fresh").alias("new")).withColumn("rank", F.row_number().over(sample)).where(F.col("rank") <= neighbours).drop("rank")
         worst = graph.groupBy(F.col("u").alias("m")).agg(F.when(F.count(F.lit(1)) >= neighbours, F.min("s")).otherwise(F.lit(-9.0)).cast("float").alias("worst"))
-        members = vectors.attach(ends.union(back).distinct().join(worst, "m"), "m", "unit")
-        lists = members.groupBy("v").agg(F.collect_list(_member()).alias("members"))
+        once = ends.union(back).groupBy("v", "m").agg(F.max("new").alias("new"))
+        members = vectors.attach(once.join(worst, "m"), "m", "unit")
+        lists = members.groupBy("v").agg(F.collect_list(_member()).alias("members"), F.max("new").alias("_new")).where("_new = 1")
         offers = _offers(lists, read, OFFERED).withColumn("fresh", F.lit(1))
         graph = _nearest(graph.withColumn("fresh", F.lit(0)).unionByName(offers), neighbours)
         counts = graph.agg(F.sum("fresh").alias("fresh"), F.count(F.lit(1)).alias("all")).first()
@@ -156,7 +160,7 @@ def build_graph(vectors: Vectors, neighbours: int = NEIGHBOURS, rounds: int = RO
     return graph.select("u", "w", "s")
 
 
-def search_graph(graph: DataFrame, vectors: Vectors, starts: DataFrame, hops: int = HOPS) -> DataFrame:
+def search_graph(graph: DataFrame, vectors: Vectors, starts: DataFrame) -> DataFrame:
     """(q, w, s): nodes seen from each query node in ``starts`` (column ``q``), best ``BEAM`` of each."""
     read = vectors.reader()
     sample = W.partitionBy("x").orderBy(F.desc("s"), "y")
@@ -176,7 +180,7 @@ def search_graph(graph: DataFrame, vectors: Vectors, starts: DataFrame, hops: in
     best = W.partitionBy("q").orderBy(F.desc("s"), "w")
     own = starts.select("q", F.col("q").alias("w"), F.lit(1.0).cast("float").alias("s"), F.lit(False).alias("done"))
     seen = common.written(own)
-    for _ in range(hops):
+    while True:
         beam = seen.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= BEAM)
         turn = W.partitionBy("q").orderBy("done", F.desc("s"), "w")
         opened = common.written(beam.withColumn("turn", F.row_number().over(turn)).where((F.col("turn") <= EXPAND) & ~F.col("done")).select("q", F.col("w").alias("x")))
@@ -191,32 +195,42 @@ def search_graph(graph: DataFrame, vectors: Vectors, starts: DataFrame, hops: in
 def nearest(rows: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", shared_bytes: int = SHARED_BYTES) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` nearest rows found for each row where ``is_query`` (over ``id``) holds."""
     common.small_batches(rows.sparkSession)
-    taking = common.written(usable(rows, key, vector).groupBy("id").agg(F.min("vector").alias("vector")))
-    # a vector's node; a common vector sends one row from each task
-    classes = common.written(taking.groupBy("vector").agg(F.min("id").alias("node")))
-    nodes = classes.select(F.col("node").alias("id"), "vector")
-    members = common.written(taking.join(classes, "vector").select("id", "node"))
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    direction = F.to_json(F.transform("vector", lambda x: F.round(x / norm, 12) + F.lit(0.0)))
+    once = usable(rows, key, vector).groupBy("id").agg(F.min("vector").alias("vector"))
+    taking = common.written(once.select("id", "vector", F.xxhash64(direction).alias("d1"), F.xxhash64(F.lit(7), direction).alias("d2")))
+    # a direction's node; a common direction sends one row from each task and is joined by salted keys
+    salt = F.xxhash64("id")
+    lows = common.salted_min(taking, ["d1", "d2"], "id", "node", salt)
+    members = common.written(taking.withColumn("_salt", F.pmod(salt, F.lit(64))).join(lows, ["d1", "d2", "_salt"]).select("id", "node", "vector"))
+    nodes = members.where("id = node").select("id", "vector")
     vectors = Vectors(nodes, shared_bytes)
     graph = build_graph(vectors)
     queries = common.written(members.where(is_query).select(F.col("id").alias("query_id"), F.col("node").alias("q")))
     found = search_graph(graph, vectors, queries.select("q").distinct())
     top = found.where(F.col("rank") <= RESCORED).select("q", "w")
 
-    both = top.join(nodes.select(F.col("id").alias("q"), F.col("vector").alias("a")), "q").join(nodes.select(F.col("id").alias("w"), F.col("vector").alias("b")), "w")
+    def scored(pairs: DataFrame, *names: str) -> DataFrame:
+        """``names`` and the exact ``score`` of the vectors ``a`` and ``b``."""
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            a, b = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.empty((0, 1)) for i in (2, 3))
-            s = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["q", "w", "score"])
+        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = batch.num_rows
+                a, b = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.empty((0, 1)) for i in (2, 3))
+                s = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=[*names, "score"])
 
-    scores = both.select("q", "w", "a", "b").mapInArrow(exact, "q long, w long, score double")
+        return pairs.select(*names, "a", "b").mapInArrow(exact, f"{names[0]} long, {names[1]} long, score double")
+
+    both = top.join(nodes.select(F.col("id").alias("q"), F.col("vector").alias("a")), "q").join(nodes.select(F.col("id").alias("w"), F.col("vector").alias("b")), "w")
     # k + 1 rows of a node are enough: one of them may be the query itself
     low = W.partitionBy("node").orderBy("id")
-    few = members.withColumn("rank", F.row_number().over(low)).where(F.col("rank") <= k + 1).select(F.col("node").alias("w"), F.col("id").alias("vec_id"))
-    order = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    listed = scores.join(few, "w").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1).select("q", "vec_id", "score")
+    few = members.select("id", "node").withColumn("rank", F.row_number().over(low)).where(F.col("rank") <= k + 1).select(F.col("node").alias("w"), F.col("id").alias("vec_id"))
+    order = W.partitionBy("q").orderBy(F.desc(F.round("score", 12)), "vec_id")
+    listed = common.written(scored(both, "q", "w").join(few, "w").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1).select("q", "vec_id"))
+    # the rows' own vectors, which may be longer or shorter than their node's
+    ends = common.written(members.join(common.sized(common.written(listed.select(F.col("vec_id").alias("id")).distinct())), "id", "left_semi").select(F.col("id").alias("vec_id"), F.col("vector").alias("b")))
+    asked = queries.join(members.select(F.col("id").alias("query_id"), F.col("vector").alias("a")), "query_id")
+    near = scored(asked.join(listed, "q").where("vec_id <> query_id").join(ends, "vec_id"), "query_id", "vec_id")
     own = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    near = queries.join(common.written(listed), "q").where("vec_id <> query_id")
     return near.withColumn("rank", F.row_number().over(own).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
