@@ -10,7 +10,7 @@ rejected side ends with the last assistant turn of the partner conversation (ids
 empty turn where there is none.
 
 Repeated turns count once. Turns are in the order of their number (null first), then role and text; null roles and
-texts are empty. Turns without a conversation id, and conversations without an assistant turn, have nothing to prefer
+texts are empty, in pairs too, where a null turn has both empty and a null side has no turns. Turns without a conversation id, and conversations without an assistant turn, have nothing to prefer
 and give no row. Pairs that are equal have all turns in the prompt and empty completions. A conversation is one row of
 the result, so its turns are gathered in one row; conversations are not gathered together. A table without rows gives
 none. No Python runs on rows.
@@ -45,6 +45,12 @@ def preference_pairs(turns: DataFrame, **names: str) -> DataFrame:
     return ended.join(answers, "conv_id", "left").select("conv_id", "chosen", rejected.alias("rejected"))
 
 
+def _clean(side: str) -> Column:
+    """The turns of a side without nulls: a null role or text is empty, a null turn has both empty, a null side no turns."""
+    turns = F.transform(side, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
+    return F.when(F.col(side).isNotNull(), turns).otherwise(F.array().cast("array<struct<role:string,text:string>>"))
+
+
 def _rendered(turn: Column) -> Column:
     return F.concat(F.lit(OPEN), turn["role"], F.lit(MIDDLE), turn["text"], F.lit(CLOSE + AFTER))
 
@@ -70,15 +76,18 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
     """``pairs`` with ``n_prompt_turns``, ``prompt``, ``chosen_text``, ``chosen_mask``, ``rejected_text``, ``rejected_mask``."""
     made = ["n_prompt_turns", "prompt", "chosen_text", "chosen_mask", "rejected_text", "rejected_mask"]
     own = [c for c in pairs.columns if c.lower() not in made]
-    same = F.zip_with(chosen, rejected, lambda x, y: x["role"].eqNullSafe(y["role"]) & x["text"].eqNullSafe(y["text"]))
+    # a turn that one side lacks is null here, and no turn is null after _clean
+    same = F.zip_with("_sides.c", "_sides.r", lambda x, y: x["role"].eqNullSafe(y["role"]) & x["text"].eqNullSafe(y["text"]))
     differ = F.array_position(same, False)
     n = F.when(differ == 0, F.size(same)).otherwise(differ - 1).cast("int")
-    marked = pairs.withColumn("_n", n)
+    sides = pairs.select(F.struct(*own).alias("_own"), F.struct(_clean(chosen).alias("c"), _clean(rejected).alias("r")).alias("_sides"))
+    marked = sides.withColumn("_n", n)
 
     def after(side: str) -> Column:
         return F.slice(side, F.col("_n") + 1, F.greatest(F.size(side) - F.col("_n"), F.lit(0)))
 
+    c, r = "_sides.c", "_sides.r"
     return marked.select(
-        *own, F.col("_n").cast("long").alias("n_prompt_turns"), _render(F.slice(chosen, F.lit(1), F.col("_n"))).alias("prompt"),
-        _render(after(chosen)).alias("chosen_text"), _mask(after(chosen)).alias("chosen_mask"), _render(after(rejected)).alias("rejected_text"), _mask(after(rejected)).alias("rejected_mask"),
+        "_own.*", F.col("_n").cast("long").alias("n_prompt_turns"), _render(F.slice(c, F.lit(1), F.col("_n"))).alias("prompt"),
+        _render(after(c)).alias("chosen_text"), _mask(after(c)).alias("chosen_mask"), _render(after(r)).alias("rejected_text"), _mask(after(r)).alias("rejected_mask"),
     )
