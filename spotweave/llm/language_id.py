@@ -8,7 +8,7 @@ to it is larger than that centroid's radius: what ``SLACK`` leaves of the cosine
 texts of about the same length reach, of those that fell to the centroid if they are ``FEW`` or more, else of those of
 its language; where these are fewer too, the radius is wider.
 
-Bounds: ``PER_LANGUAGE`` rows of each language, those with the smallest hashes of id and text, make the centroids;
+Bounds: ``PER_LANGUAGE`` texts of each language, those with the smallest hashes, make the centroids;
 document frequencies come from all labelled rows that may be learnt from. The model has one float for each bucket and
 centroid.
 
@@ -106,11 +106,11 @@ def document_frequency(labelled: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                c = counts(t)
-                if c is not None:
-                    total += c > 0
-                    n += 1
+            for part in common.slices(batch, 0):
+                for c in map(counts, part.column(0).to_pylist()):
+                    if c is not None:
+                        total += c > 0
+                        n += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(total[at], n), pa.int64())], names=["bucket", "docs"])
 
@@ -161,16 +161,16 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """The model from all rows of ``docs`` with a language; leave held-out rows out before."""
     common.small_batches(docs.sparkSession)
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("order"))
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(text)).alias("order"))
     df, n = document_frequency(labelled)
     idf = np.log((1 + n) / (1 + df)) + 1.0
-    # about twice PER_LANGUAGE rows of a language pass the hash, and only they are dealt by language
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    # about twice PER_LANGUAGE texts of a language pass the hash, a text once, and only they are dealt by language
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("order", 0.02).alias("rows"))
     share = F.pmod("order", F.lit(1 << 30)) / F.lit(float(1 << 30))
-    few = labelled.join(F.broadcast(sizes), "lang").where(share * F.col("rows") <= 2.0 * PER_LANGUAGE).drop("rows")  # one row for each language
+    few = labelled.join(F.broadcast(sizes), "lang").where(share * F.col("rows") <= 2.0 * PER_LANGUAGE).drop("rows").dropDuplicates(["lang", "order"])  # one row for each language
     sample = few.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("order", "text"))).where(F.col("rank") <= PER_LANGUAGE).select("lang", "text")
 
     def cluster(part: pd.DataFrame) -> pd.DataFrame:
