@@ -16,7 +16,7 @@ on many sites, while a page with boilerplate has lines of its own.
 Lines are what ``\\n`` separates; equal lines are equal byte for byte. All hashes have 128 bits. Empty lines are never
 boilerplate and stay. A null site is no site; a null text stays null and has no lines; a text that loses all its lines
 becomes empty, and its row stays. Repeated rows count as one site and are all cleaned. A table without rows gives none.
-Columns of the input that are named like a result (``n_lines``, ``n_removed``) are replaced. No Python runs on rows.
+Columns of the input that are named like a result (``n_lines``, ``n_removed``) are replaced; all others pass through. No Python runs on rows.
 """
 
 from __future__ import annotations
@@ -88,14 +88,14 @@ def remove_boilerplate(docs: DataFrame, text: str = "text", site: str = "source"
     hits = line_hashes(docs.where(F.col(text).isNotNull()), text, _pair(F.col(text), "key")).join(lines, ["a", "b"], "left_semi")
     of_text = common.written(hits.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("bad")).select(F.col("key.a").alias("_ka"), F.col("key.b").alias("_kb"), F.col("bad").alias("_bad")))
 
-    names = docs.columns
-    kept = common.drop_clashing(docs, ["n_lines", "n_removed", "_bad", "_ka", "_kb"])
+    kept = common.drop_clashing(docs, ["n_lines", "n_removed"]).columns
     ka, kb = _hash(F.coalesce(F.col(text), F.lit("")))
-    joined = kept.withColumn("_ka", ka).withColumn("_kb", kb).join(of_text, ["_ka", "_kb"], "left")
-    parts = F.split(text, "\n", -1)
+    others = [F.col(c) for c in kept if c != text] or [F.lit(None).alias("none")]
+    joined = docs.select(F.struct(*others).alias("_own"), F.col(text).alias("_text"), ka.alias("_ka"), kb.alias("_kb")).join(of_text, ["_ka", "_kb"], "left")
+    parts = F.split("_text", "\n", -1)
     clean = F.filter(parts, lambda line: ~F.array_contains("_bad", F.struct(*[h.alias(n) for h, n in zip(_hash(line), "ab", strict=True)])))
     n_lines = F.coalesce(F.size(F.filter(parts, lambda line: line != "")), F.lit(0))
-    hit = F.col("_bad").isNotNull() & F.col(text).isNotNull()
+    hit = F.col("_bad").isNotNull() & F.col("_text").isNotNull()
     n_removed = F.when(hit, F.size(parts) - F.size(clean)).otherwise(F.lit(0))
-    cleaned = F.when(hit, F.array_join(clean, "\n")).otherwise(F.col(text))
-    return joined.select(*[cleaned.alias(c) if c == text else F.col(c) for c in names if c in kept.columns], F.when(F.col(text).isNull(), F.lit(0)).otherwise(n_lines).cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"))
+    cleaned = F.when(hit, F.array_join(clean, "\n")).otherwise(F.col("_text"))
+    return joined.select(*[cleaned.alias(c) if c == text else F.col("_own")[c].alias(c) for c in kept], F.when(F.col("_text").isNull(), F.lit(0)).otherwise(n_lines).cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"))
