@@ -40,7 +40,7 @@ def item_windows(benchmark: DataFrame, n: int = N, item: str = "item_id", text:
     """One row for each distinct window of each item: ``item_id``, its words, their number, and a key to deal it by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.slices(whole, 1)):
             ids, sizes, words, keys = [], [], [], []
             for i, t in zip(batch.column(0).to_pylist(), common.texts_of(batch.column(1)), strict=True):
                 w = common.alnum_words(t)
@@ -52,7 +52,7 @@ def item_windows(benchmark: DataFrame, n: int = N, item: str = "item_id", text:
                     keys.append(xxhash.xxh3_64_intdigest(joined) >> 1)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(words, pa.binary()), pa.array(keys, pa.int64())], names=_WINDOWS.names)
 
-    rows = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("long").alias("item_id"), F.col(text).alias("text"))
+    rows = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("long").alias("item_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, _WINDOWS).distinct()
 
 
