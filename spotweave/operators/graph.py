@@ -10,6 +10,10 @@ from spotweave.functions import vectors as V
 from spotweave.operators import neighbours
 
 
+#: Components that are summed in one row.
+WIDE = 64
+
+
 def symmetrise(pairs: DataFrame) -> DataFrame:
     """(i, j) in both directions, each once, without loops."""
     return pairs.select("i", "j").union(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"))).where("i <> j").distinct()
@@ -32,7 +36,7 @@ def coalesce(entries: DataFrame) -> DataFrame:
     return entries.groupBy("i", "j").agg(F.sum("w").alias("w"))
 
 
-def spatial_knn(spots: DataFrame, k: int = 6) -> DataFrame:
+def place_knn(spots: DataFrame, k: int = 6) -> DataFrame:
     """The symmetric graph of the k nearest places, with weight 1."""
     return symmetrise(neighbours.grid_neighbours(spots, k)).withColumn("w", F.lit(1.0))
 
@@ -83,6 +87,11 @@ def normalize_adj(edges: DataFrame, spots: DataFrame, self_loops: bool = True, k
 
 def propagate(adj: DataFrame, feats: DataFrame, width: int, vector: str = "feat", key: str = "spot_id") -> DataFrame:
     """The product of ``adj`` (i, j, v) with the vectors: one sum for each component, merged before the exchange."""
+    if width > WIDE:  # parts of a long vector are rows of their own
+        cut = feats.select(key, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(width - 1), F.lit(WIDE)), lambda a: F.slice(vector, a + 1, WIDE))).alias("_part", "_x"))
+        sums = adj.join(cut.withColumnRenamed(key, "j"), "j").groupBy("i", "_part").agg(*[F.sum(F.col("v") * F.get("_x", F.lit(c))).alias(f"_{c}") for c in range(WIDE)])
+        parts = sums.groupBy("i").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_part", F.array(*[F.col(f"_{c}") for c in range(WIDE)]).alias("x")))), lambda s: s["x"])).alias("_all"))
+        return parts.select(F.col("i").alias(key), F.slice("_all", 1, width).alias(vector))
     joined = adj.join(feats.select(F.col(key).alias("j"), F.col(vector).alias("_x")), "j")
     sums = joined.groupBy("i").agg(*[F.sum(F.col("v") * F.col("_x")[c]).alias(f"_{c}") for c in range(width)])
     return sums.select(F.col("i").alias(key), F.array(*[F.col(f"_{c}") for c in range(width)]).alias(vector))

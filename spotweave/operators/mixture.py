@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spotweave.functions import vectors as V
+from spotweave.operators import preprocess
+from spotweave.sources import shared
 
 
 def _rows(batch: pa.RecordBatch, at: int = 0) -> np.ndarray:
@@ -47,10 +49,10 @@ def spread_starts(feats: DataFrame, k: int, seed: int, vector: str = "feat", key
     return np.array(centres)
 
 
-def kmeans(feats: DataFrame, k: int, seed: int = 42, starts: int = 2, rounds: int = 20, vector: str = "feat", key: str = "spot_id") -> tuple[np.ndarray, float]:
-    """Centres and the sum of squared distances: the best of some starts."""
+def kmeans(feats: DataFrame, k: int, seed: int = 42, starts: int | None = None, rounds: int = 20, vector: str = "feat", key: str = "spot_id") -> tuple[np.ndarray, float]:
+    """Centres and the sum of squared distances: the best of some starts, two for each cluster if nothing else is asked."""
     best = None
-    for turn in range(starts):
+    for turn in range(2 * k if starts is None else starts):
         centres = spread_starts(feats, k, seed + turn, vector, key)
         d, cost = centres.shape[1], np.inf
         for _ in range(rounds):
@@ -121,6 +123,15 @@ def fit_tied(feats: DataFrame, k: int, seed: int = 2023, starts: int = 3, rounds
     return best
 
 
+def cluster(feats: DataFrame, k: int, seed: int = 2023, n_pcs: int | None = None, vector: str = "feat", key: str = "spot_id") -> DataFrame:
+    """(spot_id, pred): the likeliest of ``k`` clusters of a fitted mixture; with ``n_pcs``, of that many principal
+    components where the vectors are longer."""
+    narrow = feats.select(key, F.col(vector).cast("array<double>").alias(vector))
+    if n_pcs is not None and len(narrow.select(vector).first()[0]) > n_pcs:
+        narrow = shared.written(preprocess.pca(narrow, n_pcs, vector, key)[0])
+    return predict(narrow, fit_tied(narrow, k, seed, vector=vector, key=key)[0], vector, key)
+
+
 def predict(feats: DataFrame, model: TiedMixture, vector: str = "feat", key: str = "spot_id") -> DataFrame:
     """(spot_id, pred): the likeliest cluster of each row."""
     shared = feats.sparkSession.sparkContext.broadcast(model)

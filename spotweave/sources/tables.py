@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 COUNTS = "slice string, spot_id string, gene string, cnt double"
 METADATA = "barcode string, layer_guess_reordered string, row int, col int, imagecol double, imagerow double"
 RUNS = "method string, slice string, seed int, time double, ARI double, NMI double, FMS double, ARI_refined double, NMI_refined double, FMS_refined double"
+RUN_FIELDS = [field.split()[0] for field in RUNS.split(", ")]
 
 #: Slices by donor, and the number of domains of each slice.
 DONORS = {1: ["151507", "151508", "151509", "151510"], 2: ["151669", "151670", "151671", "151672"], 3: ["151673", "151674", "151675", "151676"]}
@@ -41,6 +42,20 @@ def unique_names(genes: DataFrame, name: str = "gene", place: str = "pos") -> Da
     return genes.withColumn("_n", before).withColumn(name, F.when(F.col("_n") > 0, F.concat_ws("-", name, F.col("_n").cast("string"))).otherwise(F.col(name))).drop("_n")
 
 
+def batch_codes(spots: DataFrame, order: list[str], slice_col: str = "slice") -> DataFrame:
+    """``spots`` with ``batch``: the place of the slice in the given order, from 0. Slices that aren't in it have -1."""
+    return spots.withColumn("batch", (F.array_position(F.array(*[F.lit(s) for s in order]), F.col(slice_col)) - 1).cast("long"))
+
+
+def shifted(spots: DataFrame, offset: float | None = None) -> DataFrame:
+    """``spots`` with each batch moved along x by one and a half times the span of all x, or ``offset``, so that places of
+    two slices are never near."""
+    if offset is not None:
+        return spots.withColumn("x", F.col("x") + F.col("batch") * F.lit(float(offset) * 1.5))
+    span = spots.agg((F.max("x") - F.min("x")).alias("_span"))
+    return spots.crossJoin(F.broadcast(span)).withColumn("x", F.col("x") + F.col("batch") * F.col("_span") * F.lit(1.5)).drop("_span")  # one row is broadcast
+
+
 def strict_lookup(rows: DataFrame, meta: DataFrame, key: str) -> DataFrame:
     """``rows`` joined to ``meta``; a key without metadata raises an error when it is computed."""
     marked = rows.join(meta.withColumn("_found", F.lit(True)), key, "left")

@@ -34,23 +34,40 @@ def test_grid_neighbours(spark, kind, include_self):
     assert got == by_force(points, 4, include_self)
 
 
+def test_a_far_point_makes_few_pairs_and_the_plan_is_a_scan(spark):
+    rng = np.random.default_rng(3)
+    points = [tuple(p) for p in rng.normal(size=(3000, 2))] + [(1e7, 1e7)]
+    table = spots(spark, points)
+    box = table.agg(*[f(c).alias(f"{c}{n}") for c in "xy" for n, f in enumerate((F.min, F.max))]).first()
+    span = max(box["x1"] - box["x0"], box["y1"] - box["y0"])
+    width = neighbours._first_width(table, box, span)
+    cells = table.groupBy(F.floor((F.col("x") - box["x0"]) / width), F.floor((F.col("y") - box["y0"]) / width)).count()
+    assert cells.agg(F.sum(F.col("count") * F.col("count"))).first()[0] <= neighbours.CELL_POINTS * len(points)  # pairs within cells
+    near = neighbours.grid_neighbours(table, 5)
+    assert len(near._jdf.queryExecution().toString()) < 5000
+    got = {(r.i, r.j, r["rank"]) for r in near.where("i % 100 = 0 or i = 3000").collect()}
+    for i in [*range(0, 3000, 100), 3000]:
+        d = sorted(((points[i][0] - q[0]) ** 2 + (points[i][1] - q[1]) ** 2, j) for j, q in enumerate(points) if i != j)
+        assert {(i, j, r) for r, (_, j) in enumerate(d[:5], 1)} <= got
+
+
 def test_block_neighbours_in_blocks(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(90, 5))
     feats = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "spot_id long, feat array<double>, batch int")
     d = ((x[:, None] - x[None]) ** 2).sum(2)
     want = {(i, int(j), r) for i in range(90) for r, j in enumerate([j for j in np.lexsort((np.arange(90), d[i])) if j != i][:5], 1)}
-    for size in (64 << 20, 90 * 64 // 4):
-        assert {(r.i, r.j, r["rank"]) for r in neighbours.block_neighbours(feats, feats, 5, block_bytes=size).collect()} == want
+    for size in (4000, 25):
+        assert {(r.i, r.j, r["rank"]) for r in neighbours.block_neighbours(feats, feats, 5, block_rows=size).collect()} == want
     empty = feats.limit(0)
     assert neighbours.block_neighbours(empty, empty, 5).count() == 0 and neighbours.grid_neighbours(spots(spark, []), 3).count() == 0
 
 
 def test_path_graph_and_products(spark):
     s = spots(spark, [(0, 0), (1, 0), (2.5, 0), (3.5, 0), (10, 0)])
-    edges = {(r.i, r.j) for r in graph.spatial_knn(s, 1).collect()}
+    edges = {(r.i, r.j) for r in graph.place_knn(s, 1).collect()}
     assert edges == {(0, 1), (1, 0), (2, 3), (3, 2), (4, 3), (3, 4)}
-    adj = graph.normalize_adj(graph.spatial_knn(s, 1), s)
+    adj = graph.normalize_adj(graph.place_knn(s, 1), s)
     a = np.eye(5)
     for i, j in edges:
         a[i, j] = 1
@@ -149,7 +166,7 @@ def test_variable_genes_find_the_odd_one(spark):
     top = preprocess.variable_genes(counts(spark, m), spark.createDataFrame([(200,)], "n long"), 5).collect()
     assert min(top, key=lambda r: r["rank"]).gene == "g07" and len(top) == 5
     x = np.linspace(0, 1, 50)
-    assert np.allclose(preprocess.local_quadratic(x, 1 + x - 2 * x**2), 1 + x - 2 * x**2)
+    assert np.allclose(preprocess.local_quadratic(x, 1 + x - 2 * x**2)[:, 0], 1 + x - 2 * x**2)
 
 
 def test_tied_mixture_and_kmeans(spark):
@@ -170,10 +187,31 @@ def test_losses_against_numpy(spark):
     rng = np.random.default_rng(8)
     a, b = rng.normal(size=(20, 4)), rng.normal(size=(20, 4))
     rows = spark.createDataFrame([(i, p.tolist(), q.tolist()) for i, (p, q) in enumerate(zip(a, b, strict=True))], "spot_id long, a array<double>, b array<double>")
-    logits = a @ b.T / 0.5
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    logits = unit(a) @ unit(b).T / 0.5
     lse = lambda m, axis: np.log(np.exp(m).sum(axis))
     want = (np.mean(lse(logits, 1) - np.diag(logits)) + np.mean(lse(logits, 0) - np.diag(logits))) / 2
     assert losses.info_nce(rows, "a", "b").first()[0] == pytest.approx(want)
+    assert losses.cross_level(rows, "a", "b", "spot").first()[0] == pytest.approx(want)
+    assert losses.cross_level(rows, "a", "b").first()[0] == pytest.approx(-np.mean((unit(a) * unit(b)).sum(1)))
+    assert losses.cross_level(rows, "a", "b", "none").first()[0] == 0.0
+    with pytest.raises(ValueError, match="mode"):
+        losses.cross_level(rows, "a", "b", "other")
+    bce = lambda x, y: np.mean(np.maximum(x, 0) - x * y + np.log1p(np.exp(-np.abs(x))))
+    w = rng.normal(size=(4, 4))
+    form = lambda z, s: ((z @ w) * s).sum(1) + 0.3
+    views = rows.withColumn("s", F.transform("b", F.tanh)).withColumn("t", F.transform("a", F.tanh))
+    both = np.concatenate([form(a, np.tanh(b)), form(b, np.tanh(a))]), np.concatenate([form(b, np.tanh(b)), form(a, np.tanh(a))])
+    assert losses.local_global(views, "a", "s", "b", "t", w.tolist(), 0.3).first()[0] == pytest.approx(bce(both[0], 1) + bce(both[1], 0))
+    edges = [(0, 1, 1.0), (1, 2, 1.0), (3, 4, 1.0), (0, 7, 0.0), (1, 9, 0.0)]
+    cosine = np.array([unit(a)[i] @ unit(a)[j] / 0.5 for i, j, _ in edges])
+    got = losses.edge_bce(spark.createDataFrame(edges, "i long, j long, label double"), rows, vector="a").first()[0]
+    assert got == pytest.approx(bce(cosine[:3], 1) + bce(cosine[3:], 0))
+    three = {k: F.lit(v) for k, v in {"rec": 2.0, "xlevel": -0.5, "edge": 1.0}.items()}
+    total = lambda *x, **y: spark.range(1).select(losses.balanced(three, *x, **y)).first()[0]
+    assert total("manual") == pytest.approx(20 - 0.15 + 0.1)
+    assert total("kendall", log_vars={k: F.lit(0.5) for k in three}) == pytest.approx(2.5 * np.exp(-0.5) + 1.5)
+    assert total("init", first={"rec": F.lit(4.0), "xlevel": F.lit(-1.0), "edge": F.lit(2.0)}) == pytest.approx(0.5 - 500 + 0.5)
     assert losses.kl_normal(rows, "a", "b").first()[0] == pytest.approx(np.mean((-0.5 * (1 + b - a * a - np.exp(b))).sum(1)))
     cos = (a * b).sum(1) / np.linalg.norm(a, axis=1) / np.linalg.norm(b, axis=1)
     assert losses.scaled_cosine_error(rows, "a", "b", 3).first()[0] == pytest.approx(np.mean((1 - cos) ** 3))
@@ -216,48 +254,18 @@ def test_sources_and_experiment(spark, tmp_path):
     tables.write_cache(spark.createDataFrame([("151507", 1)], "slice string, v int"), str(tmp_path / "cache"), 20, 0)
     assert tables.read_cache(spark, str(tmp_path / "cache"), 20, 0).count() == 1 and tables.read_cache(spark, str(tmp_path / "cache"), 20, 0).first().slice == "151507"
     rows = spark.range(1000).withColumnRenamed("id", "spot_id")
-    assert sampling.exact_mask(rows, 0.8, 1).where("masked").count() == 800
+    for share in (0.0, 0.001, 0.5, 0.8, 1.0):
+        assert sampling.exact_mask(rows, share, 1).where("masked").count() == int(share * 1000)
+    assert sorted(r["at"] for r in sampling.numbered(rows, 2).select("at").collect()) == list(range(1000))
+    far = rows.select((F.col("spot_id") * 17 + 5).alias("spot_id"))  # ids with gaps
+    edges = far.select(F.col("spot_id").alias("i"), (F.col("spot_id") + 17).alias("j"))
+    drawn = sampling.negative_edges(edges, far, 1).collect()
+    known = {r.spot_id for r in far.collect()}
+    assert sorted(r.i for r in drawn) == sorted(known) and {r.j for r in drawn} <= known and len({r.j for r in drawn}) > 500
     assert 240 < rows.where(sampling.bernoulli_mask(0.3, "spot_id", F.lit(2))).count() < 360
     assert sorted(r[0] for r in sampling.permuted(rows.withColumn("feat", F.col("spot_id")), 3).select("feat").collect()) == list(range(1000))
 
 
-@pytest.mark.parametrize("mode", ["adaptive", "global", "uniform"])
-def test_gradients_by_finite_differences(mode):
-    from spotweave.operators import autoencoder as ae
-
-    rng = np.random.default_rng(9)
-    c = ae.Config(hidden=4, latent=3, hops=2, mode=mode)
-    p = {k: v + rng.normal(size=v.shape) * 0.1 for k, v in ae.start(5, c).items()}
-    s, masked, noise = rng.normal(size=(7, 3, 5)), np.arange(7) % 2 == 0, rng.normal(size=(7, 3))
-    f = lambda q: ae.loss_and_gradients(s, masked, noise, q, mode, 0.3, 7, 4)
-    grads = f(p)[1]
-    for k in p:
-        for at in list(np.ndindex(p[k].shape))[:6]:
-            up, down = ({n: v.copy() for n, v in p.items()} for _ in range(2))
-            up[k][at] += 1e-5
-            down[k][at] -= 1e-5
-            assert grads[k][at] == pytest.approx((f(up)[0] - f(down)[0]) / 2e-5, abs=1e-7, rel=1e-4)
-
-
-def test_autoencoder_learns_from_rows_in_any_partition(spark):
-    from spotweave.operators import autoencoder as ae
-
-    rng = np.random.default_rng(10)
-    s = spots(spark, rng.normal(size=(60, 2)))
-    x = rng.normal(size=(60, 2)) @ rng.normal(size=(2, 6))
-    feats = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "spot_id long, feat array<double>")
-    adj = graph.normalize_adj(graph.spatial_knn(s, 4), s)
-    c = ae.Config(hidden=8, latent=4, hops=2, epochs=12, rate=0.03)
-    stacks = ae.hop_stacks(adj, feats, 6, 2).cache()
-    p, history = ae.fit(stacks, 6, c)
-    again = ae.fit(stacks.repartition(5), 6, c)[1]
-    assert history[-1] < 0.8 * history[0] and np.allclose(history, again)
-    rows = ae.embed(stacks, p, 6, c).collect()
-    assert len(rows) == 60 and all(abs(sum(r.hops) - 1) < 1e-9 and len(r.z) == 4 for r in rows)
-    with pytest.raises(ValueError, match="mode"):
-        ae.Config(mode="other")
-
-
 def test_silhouette_of_more_rows_than_the_sample(spark):
     rng = np.random.default_rng(4)
     x, label = rng.normal(size=(5600, 3)), rng.integers(0, 3, 5600)
