@@ -106,7 +106,7 @@ def grid_neighbours(points: DataFrame, k: int, include_self: bool = False, key:
             todo = shared.written(todo.join(complete.select("i").distinct(), "i", "left_anti"))
             if todo.isEmpty():
                 break
-            width *= 2 if turn < 3 else 4
+            width *= 2 if turn < 1 else 4
             turn += 1
     return spark.read.parquet(folder).select("i", "j", "rank", "d2")
 
