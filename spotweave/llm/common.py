@@ -6,9 +6,6 @@ text at least, so the memory of a Python worker follows the longest text and not
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,66 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from spotweave.sources.shared import SMALL, passing, shared_folder, sized, written
+
+__all__ = ["SMALL", "passing", "shared_folder", "sized", "written"]
+
 #: Rows and bytes in an Arrow batch from the JVM (one row at least), and bytes of text that a function sees at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 SLICE_BYTES = 4 << 20
-#: Rows of two numbers that may be broadcast; their count is checked before.
-SMALL = 1_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-# --- folders and lineage -----------------------------------------------------------------------------------
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder's URI below the checkpoint folder, which the driver and all executors share."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = sc._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else None
-    if not base:
-        if not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir isn't set: a cluster's tasks need a folder that they share")
-        base = tempfile.mkdtemp(prefix="spotweave-")  # one machine, as in tests
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/spotweave-{uuid.uuid4().hex}"
-
-
-#: The folders that each open scope of ``passing`` deletes at its end.
-_PASSING: list[list[str]] = []
-
-
-def written(df: DataFrame, keep: bool = False) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: it outlives executors and has no lineage.
-
-    Inside a scope of ``passing`` the table is deleted at the scope's end, but for those to ``keep``.
-    """
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if _PASSING and not keep:
-        _PASSING[-1].append(folder)
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
-@contextlib.contextmanager
-def passing(spark: SparkSession) -> Iterator[None]:
-    """A scope whose written tables are needed until its end only."""
-    _PASSING.append([])
-    try:
-        yield
-    finally:
-        for folder in _PASSING.pop():
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def sized(df: DataFrame) -> DataFrame:
-    """A written table of few columns, to be broadcast if its rows are few."""
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
 def small_batches(spark: SparkSession) -> None:
     """Let the JVM send Arrow batches of few rows and bytes, as texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -170,7 +170,7 @@ def test_unigram_search_finds_the_best_segmentation():
     pieces = sentence_pieces.Pieces(PIECES, "unigram")
     pieces.scores = {p: -abs(hash(p) % 97) - 1.0 for p in ("a", "b", "c", "ab", "bc", "abc", "ca", "▁", "▁a")}
     pieces.ids = {p: i for i, p in enumerate(pieces.scores)}
-    pieces.ends = pieces._ends()
+    pieces.tails, pieces.lengths = pieces._tails(), {}
 
     def best(word):
         return max((pieces.scores[word[:n]] + (best(word[n:]) if word[n:] else 0.0) for n in range(1, len(word) + 1) if word[:n] in pieces.scores), default=float("-inf"))
