@@ -98,4 +98,6 @@ def remove_boilerplate(docs: DataFrame, text: str = "text", site: str = "source"
     hit = F.col("_bad").isNotNull() & F.col("_text").isNotNull()
     n_removed = F.when(hit, F.size(parts) - F.size(clean)).otherwise(F.lit(0))
     cleaned = F.when(hit, F.array_join(clean, "\n")).otherwise(F.col("_text"))
-    return joined.select(*[cleaned.alias(c) if c == text else F.col("_own")[c].alias(c) for c in kept], F.when(F.col("_text").isNull(), F.lit(0)).otherwise(n_lines).cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"))
+    n_lines = F.when(F.col("_text").isNull(), F.lit(0)).otherwise(n_lines)
+    made = joined.select(F.col("_own").alias("o"), F.struct(cleaned.alias("text"), n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed")).alias("m"))
+    return made.select(*[F.col("m")["text"].alias(c) if c == text else F.col("o")[c].alias(c) for c in kept], F.col("m")["n_lines"].alias("n_lines"), F.col("m")["n_removed"].alias("n_removed"))
