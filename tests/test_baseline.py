@@ -13,10 +13,13 @@ SMALL = {"n_clusters": 2, "hidden1": 5, "hidden2": 4, "graph1": 4, "graph2": 2,
 
 @pytest.fixture(autouse=True)
 def few_partitions(spark):
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    small = {"spark.sql.shuffle.partitions": "2", "spark.sql.adaptive.enabled": "false"}  # many short jobs
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
     yield
-    spark.conf.set("spark.sql.shuffle.partitions", before)
+    for k, v in before.items():
+        spark.conf.set(k, v)
 
 
 @pytest.fixture(scope="module")
