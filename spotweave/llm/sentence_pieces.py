@@ -23,6 +23,7 @@ the input that are named like a result are replaced. A text that holds the mark
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import pyarrow as pa
@@ -33,7 +34,7 @@ from spotweave.llm import common
 
 MARK = "▁"
 #: Words (and neighbours) that a worker remembers in each of two generations, letters above which a word isn't remembered.
-REMEMBERED, LONG_WORD = 400_000, 200
+REMEMBERED, LONG_WORD = 300_000, 200
 LETTERS, SIGNS, SPACES = "A-Za-zÀ-ÖØ-öø-ɏ", ".,;:!?*$%&\"()", "\n\t\r"
 NEVER = float("-inf")
 
@@ -65,20 +66,29 @@ class Pieces:
                 self.ids[piece] = i
                 self.scores[piece] = model.get_score(i)
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.longest = max(map(len, self.ids))
-        self.ends = self._ends()
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else piece.encode() for i, piece in enumerate(self.text)]
+        self.tails = self._tails()
+        self.lengths: dict[str, list[int]] = {}
         self.word = self._splitter()
         self.neighbours: dict[tuple[str | None, str], bool] = {}
         self.known: dict[str, list[int]] = {}
         self.before: dict[str, list[int]] = {}
 
-    def _ends(self) -> dict[str, list[int]]:
-        """For each last letter, the lengths of the pieces that end with it, longest first."""
+    def _tails(self) -> dict[str, list[int]]:
+        """For each last three letters, the lengths of the pieces that end with them, longest first."""
         lengths: dict[str, set[int]] = {}
         for piece in self.ids:
-            lengths.setdefault(piece[-1], set()).add(len(piece))
+            if len(piece) > 2:
+                lengths.setdefault(piece[-3:], set()).add(len(piece))
         return {c: sorted(n, reverse=True) for c, n in lengths.items()}
 
+    def _ending(self, tail: str) -> list[int]:
+        """The lengths that pieces before the end of ``tail`` (the last three letters, or all there are) may have, longest first."""
+        self.lengths[tail] = found = [*(self.tails.get(tail, ()) if len(tail) == 3 else ()), *([2] if tail[-2:] in self.scores and len(tail) > 1 else ()), 1]
+        if len(self.lengths) > REMEMBERED:
+            self.lengths.clear()
+        return found
+
     def _splitter(self) -> re.Pattern:
         """The pattern of marked words. No merge reaches over their ends: they are cut where no piece has the two letters
         side by side, that is before a mark, around white space that is no piece, and between letters and those
@@ -135,14 +145,15 @@ class Pieces:
 
     def _extend(self, states: list, word: str, done: int) -> None:
         """Add the forward states of the letters after the first ``done``."""
-        scores, neighbours, one_way = self.scores, self.neighbours, self.kind == "bpe"
+        scores, neighbours, lengths, one_way = self.scores, self.neighbours, self.lengths, self.kind == "bpe"
         for end in range(done + 1, len(word) + 1):
             letter = word[end - 1]
             if letter not in scores:  # it becomes bytes
                 states.append((states[end - 1][0], None, end - 1))
                 continue
             best: tuple[float, str | None, int] = (NEVER, None, -1)
-            for n in self.ends[letter]:
+            tail = word[max(0, end - 3) : end]
+            for n in lengths.get(tail) or self._ending(tail):
                 start = end - n
                 if start < 0:
                     continue
@@ -192,10 +203,7 @@ class Pieces:
             if words is None:
                 out.append(None)
                 continue
-            ids: list[int] = []
-            for w in words:
-                ids += known[w]
-            out.append(ids)
+            out.append(list(itertools.chain.from_iterable(map(known.__getitem__, words))))
         for w in [w for w in new if len(w) > LONG_WORD]:
             del known[w]
         return out
@@ -204,12 +212,7 @@ class Pieces:
         """The text of ``ids``: bytes are joined to letters, marks become blanks, the first mark goes."""
         if ids is None:
             return None
-        text, bytes_of = self.text, self.byte_of
-        if bytes_of.keys().isdisjoint(ids):
-            joined = "".join([text[i] for i in ids])
-        else:
-            joined = b"".join([bytes([bytes_of[i]]) if i in bytes_of else text[i].encode() for i in ids]).decode("utf-8", "replace")
-        joined = joined.replace(MARK, " ")
+        joined = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return joined[1:] if joined[:1] == " " else joined
 
 
