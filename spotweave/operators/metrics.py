@@ -145,12 +145,14 @@ def silhouette(rows: DataFrame, sample: int | None = 5000, seed: int = 0, key: s
     return picked.mapInArrow(widths, "s double").agg(F.avg("s").alias("silhouette"))
 
 
-def summary(runs: DataFrame) -> DataFrame:
-    """Per method: medians of the slices' means, means over runs, and the population deviation."""
-    per_slice = runs.groupBy("method", "slice").agg(F.avg("ARI").alias("a"), F.avg("NMI").alias("n"), F.avg("FMS").alias("f"))
-    medians = per_slice.groupBy("method").agg(F.median("a").alias("median_ari"), F.median("n").alias("median_nmi"), F.median("f").alias("median_fms"))
-    means = runs.groupBy("method").agg(F.avg("ARI").alias("mean_ari"), F.stddev_pop("ARI").alias("std_ari"), F.avg("time").alias("mean_time"), F.count(F.lit(1)).alias("n_runs"))
-    return medians.join(means, "method")
+def summary(runs: DataFrame, *by: str) -> DataFrame:
+    """Per method, and ``by`` (such as ``donor`` or ``slice``): medians of the slices' means, means over runs, and the
+    population deviation."""
+    keys = ["method", *by]
+    per_slice = runs.groupBy(*dict.fromkeys([*keys, "slice"])).agg(F.avg("ARI").alias("a"), F.avg("NMI").alias("n"), F.avg("FMS").alias("f"))
+    medians = per_slice.groupBy(*keys).agg(F.median("a").alias("median_ari"), F.median("n").alias("median_nmi"), F.median("f").alias("median_fms"))
+    means = runs.groupBy(*keys).agg(F.avg("ARI").alias("mean_ari"), F.stddev_pop("ARI").alias("std_ari"), F.avg("time").alias("mean_time"), F.count(F.lit(1)).alias("n_runs"))
+    return medians.join(means, keys)
 
 
 def ranks_with_ties(rows: DataFrame, value: str, *by: str) -> DataFrame:

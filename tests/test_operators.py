@@ -246,6 +246,8 @@ def test_sources_and_experiment(spark, tmp_path):
     tables.append_runs(runs, str(tmp_path / "runs"))
     tables.append_runs(runs.withColumn("seed", F.lit(1)), str(tmp_path / "runs"))
     done = tables.read_runs(spark, str(tmp_path / "runs"))
+    by_donor = metrics.summary(done.join(tables.slices(spark), "slice"), "donor").collect()
+    assert [(r.method, r.donor, r.median_ari, r.n_runs) for r in by_donor] == [("m", 1, 0.5, 2)]
     jobs = experiment.job_grid(spark.createDataFrame([("m",), ("baseline_x",)], "method string"), tables.slices(spark).where("donor = 1").select("slice"), spark.createDataFrame([(0,), (1,)], "seed int"))
     assert jobs.count() == 16 and experiment.pending(jobs, done).count() == 14
     assert {r.model for r in jobs.where("method = 'baseline_x'").collect()} == {"baseline"}
