@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotweave.llm import chat_format, decontamination, jaccard_join, language_id, license_scan, line_dedup, nearest, sentence_pieces, token_counts, warc
+from spotweave.llm import chat_format, decontamination, jaccard_join, language_id, license_scan, line_dedup, merkle, nearest, sentence_pieces, token_counts, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -97,12 +97,20 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle manifest of all documents, and roots folded from rows with line feeds taken out where the id's crc32 is even."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    found = merkle.manifest(docs, changed={"text": F.translate("text", "\n", "")}, where=even)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_warc, op4_sentence_pieces, op5_chat_format, op6_line_dedup, op7_jaccard_join, op8_license_scan, op9_decontamination, op10_nearest)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_warc, op4_sentence_pieces, op5_chat_format, op6_line_dedup, op7_jaccard_join, op8_license_scan, op9_decontamination, op10_nearest, op11_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3, "op5_chat_format": OP5, "op6_line_dedup": OP6, "op7_jaccard_join": OP7, "op9_decontamination": OP9}
+    return {"op3_warc": OP3, "op5_chat_format": OP5, "op6_line_dedup": OP6, "op7_jaccard_join": OP7, "op9_decontamination": OP9, "op11_merkle": OP11}
 
 
 OP3 = """
@@ -180,3 +188,29 @@ low AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(low.component_id, w.doc_id) AS component_id
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN low ON low.doc_id = w.doc_id
 """
+
+_FIELD = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(f) for f in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+#: crc32 of a text without characters beyond ASCII: each byte into the register, then eight shifts.
+_CRC = "xor(list_reduce(list_concat([4294967295], list_transform(range(1, length({0}) + 1), lambda k: CAST(ascii(substr({0}, k, 1)) AS BIGINT))), lambda c, b: list_reduce(list_concat([xor(c, b)], range(0, 8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+
+OP11 = f"""
+WITH RECURSIVE leaves AS (SELECT doc_id, source, {_LEAF.format("text")} AS leaf, {_LEAF.format("replace(text, chr(10), '')")} AS now, {_CRC.format("CAST(doc_id AS VARCHAR)")} % 2 = 0 AS even FROM documents),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS size FROM leaves),
+tree AS (SELECT source, 0 AS level, place, size, leaf AS h FROM numbered
+  UNION ALL SELECT source, level + 1, place // 3, (size + 2) // 3, sha256(string_agg(h, '' ORDER BY place)) FROM tree WHERE size > 1 GROUP BY source, level, place // 3, size),
+subroots AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS size FROM tree WHERE size = 1),
+top AS (SELECT 0 AS level, place, size, subroot AS h FROM subroots
+  UNION ALL SELECT level + 1, place // 3, (size + 2) // 3, sha256(string_agg(h, '' ORDER BY place)) FROM top WHERE size > 1 GROUP BY level, place // 3, size),
+sides AS (SELECT source, level, place, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM tree WHERE size > 1 WINDOW w AS (PARTITION BY source, level, place // 3 ORDER BY place)),
+top_sides AS (SELECT level, place, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM top WHERE size > 1 WINDOW w AS (PARTITION BY level, place // 3 ORDER BY place)),
+folded AS (SELECT doc_id, source, leaf, 0 AS level, place, CASE WHEN even THEN now ELSE leaf END AS h, '' AS way FROM numbered
+  UNION ALL SELECT f.doc_id, f.source, f.leaf, f.level + 1, f.place // 3, sha256(s.l || f.h || s.r), f.way || s.l || s.r FROM folded f JOIN sides s ON s.source IS NOT DISTINCT FROM f.source AND s.level = f.level AND s.place = f.place),
+at_top AS (SELECT f.doc_id, f.leaf, s.subroot, 0 AS level, s.place, f.h, f.way FROM (SELECT * FROM folded QUALIFY level = max(level) OVER (PARTITION BY source)) f JOIN subroots s ON s.source IS NOT DISTINCT FROM f.source),
+rooted AS (SELECT * FROM at_top
+  UNION ALL SELECT f.doc_id, f.leaf, f.subroot, f.level + 1, f.place // 3, sha256(s.l || f.h || s.r), f.way || s.l || s.r FROM rooted f JOIN top_sides s ON s.level = f.level AND s.place = f.place)
+SELECT f.doc_id, f.leaf, f.subroot, t.h AS root, sha256(f.way) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified
+FROM rooted f JOIN (SELECT h, level FROM top WHERE size = 1) t ON f.level = t.level
+"""
