@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotweave.llm import chat_format, decontamination, jaccard_join, language_id, license_scan, line_dedup, merkle, nearest, sentence_pieces, token_counts, warc
+from spotweave.llm import chat_format, decontamination, jaccard_join, language_id, license_scan, line_dedup, merkle, nearest, sentence_pieces, simhash, token_counts, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -105,8 +105,14 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose fingerprints of 4-word shingles differ in 4 bits or fewer."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.similar_groups(docs).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_warc, op4_sentence_pieces, op5_chat_format, op6_line_dedup, op7_jaccard_join, op8_license_scan, op9_decontamination, op10_nearest, op11_merkle)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_warc, op4_sentence_pieces, op5_chat_format, op6_line_dedup, op7_jaccard_join, op8_license_scan, op9_decontamination, op10_nearest, op11_merkle, op13_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

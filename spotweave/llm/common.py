@@ -161,3 +161,22 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("node", "label")
         if not changed:
             return labels
+
+
+def component_ids(rows: DataFrame, labels: DataFrame | None, salts: int = 64) -> DataFrame:
+    """``rows`` (``id``, ``node`` and others) with ``label`` (of the node's component) and ``component_id``, the smallest id of its rows.
+
+    A node without a label is a component of its own; a row whose node is null is alone, with its own id. Rows of a hot node,
+    and nodes of a hot component, are dealt to ``salts`` tasks.
+    """
+    salt = F.coalesce(F.xxhash64("id"), F.lit(0))
+    lows = salted_min(rows.where(F.col("node").isNotNull()), ["node"], "id", "low", salt, salts).drop("_n").withColumnRenamed("_salt", "_row_salt")
+    if labels is None:
+        first = lows.select("node", "_row_salt", F.col("node").alias("label"), F.col("low").alias("component_id"))
+    else:
+        known = written(lows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        turn = F.xxhash64("node", "_row_salt")
+        lowest = salted_min(known, ["label"], "low", "component_id", turn, salts).drop("_n")
+        first = known.withColumn("_salt", F.pmod(turn, F.lit(salts))).join(lowest, ["label", "_salt"]).select("node", "_row_salt", "label", "component_id")
+    out = rows.withColumn("_row_salt", F.pmod(salt, F.lit(salts))).join(written(first), ["node", "_row_salt"], "left")
+    return out.select(*rows.columns, "label", F.coalesce("component_id", "id").alias("component_id"))
