@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotweave.llm import chat_format, decontamination, jaccard_join, language_id, license_scan, line_dedup, merkle, nearest, sentence_pieces, simhash, token_counts, warc
+from spotweave.llm import chat_format, decontamination, jaccard_join, language_id, license_scan, line_dedup, merkle, nearest, sentence_pieces, simhash, token_counts, turn_repair, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -105,6 +105,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repairs of all conversations after damage to some of their rows."""
+    return turn_repair.repair(turn_repair.damaged(table(spark, sf_dir, "conversations")), gone=F.col("gone"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents whose fingerprints of 4-word shingles differ in 4 bits or fewer."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -112,11 +117,11 @@ def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_warc, op4_sentence_pieces, op5_chat_format, op6_line_dedup, op7_jaccard_join, op8_license_scan, op9_decontamination, op10_nearest, op11_merkle, op13_simhash)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_warc, op4_sentence_pieces, op5_chat_format, op6_line_dedup, op7_jaccard_join, op8_license_scan, op9_decontamination, op10_nearest, op11_merkle, op12_turn_repair, op13_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3, "op5_chat_format": OP5, "op6_line_dedup": OP6, "op7_jaccard_join": OP7, "op9_decontamination": OP9, "op11_merkle": OP11}
+    return {"op3_warc": OP3, "op5_chat_format": OP5, "op6_line_dedup": OP6, "op7_jaccard_join": OP7, "op9_decontamination": OP9, "op11_merkle": OP11, "op12_turn_repair": OP12}
 
 
 OP3 = """
@@ -220,3 +225,37 @@ rooted AS (SELECT * FROM at_top
 SELECT f.doc_id, f.leaf, f.subroot, t.h AS root, sha256(f.way) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified
 FROM rooted f JOIN (SELECT h, level FROM top WHERE size = 1) t ON f.level = t.level
 """
+
+#: Damage; faults; then the least (cost, audit) of each state after each row: any insertions, then the row's own edit. States: 0 nothing
+#: yet, 1 after s, 2 after u, 3 after a. Audits of one conversation and state that cost the same never begin with each other.
+OP12 = f"""
+WITH RECURSIVE r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+f AS (SELECT *, {_CRC.format("name")} % 20 AS fate FROM r),
+d AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(range(0, CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy FROM f WHERE fate <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM d),
+j AS (SELECT *, left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+  CASE WHEN body = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM o),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+sums AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+  count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM j GROUP BY conv_id),
+heads AS (SELECT ids.conv_id, coalesce(n, 0) AS n, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal
+  FROM ids LEFT JOIN sums ON ids.conv_id IS NOT DISTINCT FROM sums.conv_id),
+ins AS (SELECT * FROM (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 3, 'I'), (1, 2, 3, 'I'), (2, 3, 3, 'I'), (3, 2, 3, 'I'), (0, 3, 6, 'II'), (1, 3, 6, 'II')) AS v(p, q, cost, letters)),
+edit AS (SELECT * FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) AS v(p, c, q)),
+turned AS (SELECT * FROM (VALUES (0, 2), (1, 2), (2, 3), (3, 2)) AS v(p, q)),
+steps AS (SELECT conv_id, i, p, p AS q, 4 AS cost, 'D' AS letter FROM j, turned
+  UNION ALL SELECT j.conv_id, i, p, q, CASE WHEN fault = 't' THEN 3 ELSE 0 END, 'K' FROM j JOIN edit ON edit.c = j.c WHERE fault NOT IN ('b', 'd')
+  UNION ALL SELECT conv_id, i, p, q, CASE WHEN fault = 't' THEN 6 ELSE 3 END, 'R' FROM j, turned WHERE fault NOT IN ('b', 'd')),
+ways AS (SELECT s.conv_id, s.i, ins.p, s.q, s.cost + ins.cost AS cost, ins.letters || s.letter AS letters FROM steps s JOIN ins ON ins.q = s.p),
+best AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, struct_pack(cost := 0, audit := '') AS b FROM heads
+  UNION ALL SELECT b.conv_id, b.i + 1, w.q, min(struct_pack(cost := b.b.cost + w.cost, audit := b.b.audit || w.letters)) FROM best b JOIN ways w ON w.conv_id IS NOT DISTINCT FROM b.conv_id AND w.i = b.i + 1 AND w.p = b.q GROUP BY b.conv_id, b.i, w.q),
+done AS (SELECT b.conv_id, min(struct_pack(cost := b.b.cost + ins.cost, audit := b.b.audit || ins.letters)) AS b FROM best b JOIN heads h ON h.conv_id IS NOT DISTINCT FROM b.conv_id AND h.n = b.i JOIN ins ON ins.p = b.q AND ins.q IN (0, 3) GROUP BY b.conv_id),
+letters AS (SELECT conv_id, k, substr(audit, k, 1) AS l, length(replace(substr(audit, 1, k), 'I', '')) AS i, length(replace(substr(audit, 1, k), 'D', '')) AS line
+  FROM (SELECT conv_id, b.audit AS audit, unnest(range(1, length(b.audit) + 1)) AS k FROM done)),
+lines AS (SELECT l.conv_id, l.k, l.line, l.l, j.role, j.text, max(CASE WHEN l.l = 'K' AND l.line = 1 AND j.c = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS s
+  FROM letters l LEFT JOIN j ON j.conv_id IS NOT DISTINCT FROM l.conv_id AND j.i = l.i WHERE l.l <> 'D'),
+fixed AS (SELECT conv_id, sha256(string_agg(CASE WHEN l = 'K' THEN role WHEN (line - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN l = 'I' THEN '' ELSE text END, chr(10) ORDER BY k)) AS digest FROM lines GROUP BY conv_id)
+SELECT h.conv_id, h.gaps, h.blank, h.duplicate, h.truncated, h.illegal, CAST(done.b.cost AS BIGINT) AS cost, done.b.audit AS audit, coalesce(fixed.digest, sha256('')) AS repaired_sha256
+FROM heads h JOIN done ON done.conv_id IS NOT DISTINCT FROM h.conv_id LEFT JOIN fixed ON fixed.conv_id IS NOT DISTINCT FROM h.conv_id
+"""
