@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spotweave.functions import vectors as V
-from spotweave.operators import neighbours
-
+from spotweave.operators import neighbours, selection
+from spotweave.sources import shared
 
 #: Components that are summed in one row.
 WIDE = 64
@@ -54,16 +54,19 @@ def edge_distances(edges: DataFrame, feats: DataFrame, vector: str = "feat", key
     return at_ends(edges.select("i", "j"), unit, "_u", key).select("i", "j", (F.lit(1.0) - V.dot("a", "b")).alias("d"))
 
 
-def scale_of(distances: DataFrame) -> DataFrame:
-    """One row (tau): the exact median of the distances of directed edges, and a little."""
-    return distances.agg((F.median("d") + F.lit(1e-8)).alias("tau"))
+def scale_of(distances: DataFrame) -> float | None:
+    """The exact median of the distances of directed edges (a written table), and a little; None without edges."""
+    median = selection.quantile(distances, "d", 0.5)
+    return None if median is None else median + 1e-8
 
 
 def expression_weights(edges: DataFrame, feats: DataFrame, tau: float | None = None, floor: float = 0.05, vector: str = "feat", key: str = "spot_id") -> DataFrame:
     """Weights exp(-d / tau) in [floor, 1] for the edges; weights that they have are ignored."""
     d = edge_distances(edges, feats, vector, key)
-    scale = scale_of(d) if tau is None else d.sparkSession.range(1).select(F.lit(float(tau)).alias("tau"))
-    return d.crossJoin(F.broadcast(scale)).select("i", "j", V.clip(F.exp(-F.col("d") / F.col("tau")), floor, 1.0).alias("w"))  # one row is broadcast
+    if tau is None:
+        d = shared.written(d)
+        tau = scale_of(d)
+    return d.select("i", "j", V.clip(F.exp(-F.col("d") / F.lit(tau)), floor, 1.0).alias("w"))
 
 
 def mnn_edges(feats: DataFrame, k: int = 3, batch: str = "batch", key: str = "spot_id", vector: str = "feat") -> DataFrame:
