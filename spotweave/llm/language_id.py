@@ -123,6 +123,22 @@ def document_frequency(labelled: DataFrame) -> tuple[np.ndarray, int]:
     return out, n
 
 
+def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, order, text) with the text's counts instead: BUCKETS numbers at most, however long it is; none without a letter."""
+    for batch in batches:
+        for part in common.slices(batch, 2):
+            found = [np.zeros(BUCKETS, np.int64) if c is None else c for c in map(counts, part.column(2).to_pylist())]
+            at = [np.flatnonzero(c) for c in found]
+            lists = [pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())), pa.array([c[a] for c, a in zip(found, at, strict=True)], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["lang", "order", "buckets", "n"])
+
+
+def _dense(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    out = np.zeros(BUCKETS, np.int64)
+    out[at] = n
+    return out
+
+
 def _cluster(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Centroids by spherical k-means from spread-out starts, and the centroid of each row."""
     k = min(CENTROIDS, len(vectors))
@@ -170,11 +186,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     # about twice PER_LANGUAGE texts of a language pass the hash, a text once, and only they are dealt by language
     sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("order", 0.02).alias("rows"))
     share = F.pmod("order", F.lit(1 << 30)) / F.lit(float(1 << 30))
-    few = labelled.join(F.broadcast(sizes), "lang").where(share * F.col("rows") <= 2.0 * PER_LANGUAGE).drop("rows").dropDuplicates(["lang", "order"])  # one row for each language
-    sample = few.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("order", "text"))).where(F.col("rank") <= PER_LANGUAGE).select("lang", "text")
+    few = labelled.join(F.broadcast(sizes), "lang").where(share * F.col("rows") <= 2.0 * PER_LANGUAGE)  # one row for each language
+    grams = few.select("lang", "order", "text").mapInArrow(_sparse, "lang string, order long, buckets array<int>, n array<long>").dropDuplicates(["lang", "order"])
+    sample = grams.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("order"))).where((F.col("rank") <= PER_LANGUAGE) & (F.size("n") > 0)).select("lang", "buckets", "n")
 
     def cluster(part: pd.DataFrame) -> pd.DataFrame:
-        found = [c for c in map(counts, part["text"]) if c is not None]
+        found = [_dense(at, n) for at, n in zip(part["buckets"], part["n"], strict=True)]
         if not found:
             return pd.DataFrame({"lang": [], "at": [], "centroid": [], "radii": []})
         vectors = np.array([vector(c, idf) for c in found])
