@@ -49,7 +49,7 @@ def item_windows(benchmark: DataFrame, n: int = N, item: str = "item_id", text:
                     ids.append(i)
                     sizes.append(size)
                     words.append(joined)
-                    keys.append(xxhash.xxh3_64_intdigest(joined) >> 1)
+                    keys.append(xxhash.xxh3_64_intdigest(joined, i & 0xFFFFFFFFFFFFFFFF) >> 1)  # items that share a window are dealt apart
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(words, pa.binary()), pa.array(keys, pa.int64())], names=_WINDOWS.names)
 
     rows = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("long").alias("item_id"), F.col(text).cast("string").alias("text"))
