@@ -8,15 +8,16 @@
    other. They are compared in one product where one of the two came to the list in the last round, and pairs better
    than the worst neighbour that either has so far are merged into the graph. The graph is a written table of (u, w, s)
    each round. Rounds end when few edges change, or after ``ROUNDS``.
-4. Greedy search: a query starts at its own node and its neighbours. Each hop expands the best ``EXPAND`` nodes of its
+4. Greedy search: a query starts at its own node. Each hop expands the best ``EXPAND`` nodes of its
    best ``BEAM`` that it has not expanded, and scores all their neighbours. It ends when all of every query's best ``BEAM``
    are expanded.
-5. The best ``RESCORED`` are scored again in double precision on the original vectors; nodes are replaced by their rows.
+5. The best ``RESCORED`` are scored again in double precision on the original vectors; nodes are replaced by their rows. Scores that
+   are equal to 12 digits are ties, here and in the result, as parallel vectors of other lengths differ in the last digit.
 
 All rows are indexed; nothing is fitted on a sample. Where the nodes' vectors take ``SHARED_BYTES`` at most they are
 broadcast, else they are joined to the lists.
 
-Rows whose vector is null, empty, zero or holds a null or a component that isn't finite take no part, nor do
+Components may be as small or as large as doubles are. Rows whose vector is null, empty, zero or holds a null or a component that isn't finite take no part, nor do
 rows without an id; vectors of another length than most (ties: the longest) take no part. Of rows that repeat an id, the
 one whose vector sorts first counts. Ties go to the smaller id. With fewer candidates than asked for, all reached are returned. A table
 without rows gives none.
@@ -51,6 +52,19 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return kept.join(F.broadcast(sizes), F.size("vector") == F.col("size")).drop("size")
 
 
+def unit(vector: Column) -> Column:
+    """The unit vector. Components are divided by the largest first, so that no square is zero or infinite that shouldn't be."""
+    even = F.transform(vector, lambda x: x / F.array_max(F.transform(vector, F.abs)))
+    return F.transform(even, lambda x: x / F.sqrt(F.aggregate(even, F.lit(0.0), lambda a, y: a + y * y)))
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The cosine of each row of ``a`` with that of ``b``, in double precision. Rows are multiplied by powers of two first, which changes no digit
+    of the result, but for products that would be zero or infinite."""
+    a, b = (np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, initial=0.0))[1][:, None]) for v in (a, b))
+    return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
+
+
 class Vectors:
     """Unit vectors of the nodes: broadcast where they are small, else joined."""
 
@@ -59,8 +73,7 @@ class Vectors:
         self.size = nodes.count()
         first = nodes.select(F.size("vector").alias("n")).limit(1).collect()
         self.dims = first[0]["n"] if first else 0
-        norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-        self.units = nodes.select("id", F.transform("vector", lambda x: (x / norm).cast("float")).alias("unit"))
+        self.units = nodes.select("id", F.transform(unit(F.col("vector")), lambda x: x.cast("float")).alias("unit"))
         self.shared = None
         if self.size * self.dims * 4 <= shared_bytes:
             found = self.units.toArrow()  # shared_bytes at most
@@ -177,27 +190,28 @@ def search_graph(graph: DataFrame, vectors: Vectors, starts: DataFrame) -> DataF
         both = vectors.attach(vectors.attach(pairs, "q", "a"), "w", "b")
         return both.select("q", "w", "a", "b").mapInArrow(score, "q long, w long, s float").withColumn("done", F.lit(False))
 
-    best = W.partitionBy("q").orderBy(F.desc("s"), "w")
-    own = starts.select("q", F.col("q").alias("w"), F.lit(1.0).cast("float").alias("s"), F.lit(False).alias("done"))
-    seen = common.written(own)
+    best, turn = W.partitionBy("q").orderBy(F.desc("s"), "w"), W.partitionBy("q").orderBy("done", F.desc("s"), "w")
+    beam = common.written(starts.select("q", F.col("q").alias("w"), F.lit(1.0).cast("float").alias("s"), F.lit(False).alias("done")))
+    seen = beam.select("q", "w")  # all nodes scored so far: each hop adds a table of its own
     while True:
-        beam = seen.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= BEAM)
-        turn = W.partitionBy("q").orderBy("done", F.desc("s"), "w")
         opened = common.written(beam.withColumn("turn", F.row_number().over(turn)).where((F.col("turn") <= EXPAND) & ~F.col("done")).select("q", F.col("w").alias("x")))
         if opened.isEmpty():
             break
         reached = opened.join(ways, "x").select("q", F.col("y").alias("w")).distinct().join(seen, ["q", "w"], "left_anti")
-        marked = seen.join(opened.select("q", F.col("x").alias("w"), F.lit(True).alias("now")), ["q", "w"], "left").select("q", "w", "s", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        seen = common.written(marked.unionByName(scored(reached)))
-    return seen.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= BEAM).select("q", "w", "s", "rank")
+        fresh = common.written(scored(reached))
+        seen = seen.union(fresh.select("q", "w"))
+        marked = beam.join(opened.select("q", F.col("x").alias("w"), F.lit(True).alias("now")), ["q", "w"], "left").select("q", "w", "s", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
+        # what a hop leaves out is worse than BEAM others for good
+        beam = common.written(marked.unionByName(fresh).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= BEAM).drop("rank"))
+    return beam.withColumn("rank", F.row_number().over(best)).select("q", "w", "s", "rank")
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", shared_bytes: int = SHARED_BYTES) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` nearest rows found for each row where ``is_query`` (over ``id``) holds."""
     common.small_batches(rows.sparkSession)
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    direction = F.to_json(F.transform("vector", lambda x: F.round(x / norm, 12) + F.lit(0.0)))
     once = usable(rows, key, vector).groupBy("id").agg(F.min("vector").alias("vector"))
+    once = common.written(once.withColumn("even", unit(F.col("vector"))))
+    direction = F.to_json(F.transform("even", lambda x: F.round(x, 12) + F.lit(0.0)))
     taking = common.written(once.select("id", "vector", F.xxhash64(direction).alias("d1"), F.xxhash64(F.lit(7), direction).alias("d2")))
     # a direction's node; a common direction sends one row from each task and is joined by salted keys
     salt = F.xxhash64("id")
@@ -217,8 +231,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
             for batch in batches:
                 n = batch.num_rows
                 a, b = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.empty((0, 1)) for i in (2, 3))
-                s = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=[*names, "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cosines(a, b), pa.float64())], names=[*names, "score"])
 
         return pairs.select(*names, "a", "b").mapInArrow(exact, f"{names[0]} long, {names[1]} long, score double")
 
@@ -232,5 +245,5 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     ends = common.written(members.join(common.sized(common.written(listed.select(F.col("vec_id").alias("id")).distinct())), "id", "left_semi").select(F.col("id").alias("vec_id"), F.col("vector").alias("b")))
     asked = queries.join(members.select(F.col("id").alias("query_id"), F.col("vector").alias("a")), "query_id")
     near = scored(asked.join(listed, "q").where("vec_id <> query_id").join(ends, "vec_id"), "query_id", "vec_id")
-    own = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    own = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "vec_id")
     return near.withColumn("rank", F.row_number().over(own).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
