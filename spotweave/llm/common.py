@@ -141,28 +141,62 @@ def salted_min(df: DataFrame, keys: list[str], value: str, out: str, salt: Colum
     return part.select(*keys, "_salt").join(every, keys)
 
 
+#: A key with more than one of so many rows is hot.
+HOT_SHARE = 1000
+
+
+def looked_up(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """``rows`` (a written table) left-joined with ``known`` (a written table, a row for each ``key``).
+
+    ``known`` is broadcast where it is small. Else the keys that hold more than a thousandth of the rows, a thousand at most, are
+    looked up by broadcast and the others by a join, so no task gets a hot key's rows.
+    """
+    if known.count() <= SMALL:
+        return rows.join(F.broadcast(known), key, "left")
+    hot = written(rows.groupBy(key).count().where(F.col("count") > rows.count() / HOT_SHARE).select(key))
+    few = written(known.join(F.broadcast(hot), key, "left_semi"))  # HOT_SHARE rows at most
+    other = rows.join(F.broadcast(hot), key, "left_anti").join(known, key, "left")
+    return rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(few), key, "left").unionByName(other)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``label`` for each node of ``edges`` (columns ``a`` and ``b``, a < b): the smallest node reachable.
 
     Each round, a node takes the smallest label among its own and its neighbours', and then its label's label. The
-    tables of labels are written; the rounds follow the logarithm of the longest path. Labels that are looked up are
-    one row for each component so far; they are broadcast where they are few, so a component with a third of all nodes
-    isn't dealt to one task by its label.
+    tables of labels are written; the rounds follow the logarithm of the longest path. A hub's edges and the nodes of a large
+    component are looked up without meeting in one task.
     """
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
+        near = looked_up(both, written(labels.select(F.col("node").alias("b"), "label")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
         step = written(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "low").alias("label")))
         heads = step.select("label").distinct()
         up = written(heads.join(step.select("node", F.col("label").alias("top")), F.col("node") == heads["label"]).select(heads["label"], "top"))
-        after = written(step.join(sized(up), "label", "left").select("node", "old", F.least("label", F.coalesce("top", "label")).alias("label")))
+        after = written(looked_up(step, up, "label").select("node", "old", F.least("label", F.coalesce("top", "label")).alias("label")))
         changed = not after.where(F.col("label") != F.col("old")).isEmpty()
         labels = after.select("node", "label")
         if not changed:
             return labels
 
 
+def more_links(labels: DataFrame | None, edges: DataFrame) -> DataFrame | None:
+    """``labels`` after more ``edges`` (``a``, ``b``): only those between different components are looked at."""
+    if labels is None:
+        return None if edges.isEmpty() else components(edges)
+    ends = written(edges.select("a", "b"))
+    for side in "ab":
+        known = written(labels.select(F.col("node").alias(side), F.col("label").alias("_label")))
+        ends = written(looked_up(ends, known, side).withColumn(side, F.coalesce("_label", side)).drop("_label"))
+    ends = written(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if ends.isEmpty():
+        return labels
+    up = written(components(ends).select(F.col("node").alias("label"), F.col("label").alias("top")))
+    moved = looked_up(labels, up, "label").select("node", F.coalesce("top", "label").alias("label"))
+    new = up.select(F.col("label").alias("node"), F.col("top").alias("label")).join(labels.select("node"), "node", "left_anti")
+    return written(moved.unionByName(new))
+
+
 def component_ids(rows: DataFrame, labels: DataFrame | None, salts: int = 64) -> DataFrame:
     """``rows`` (``id``, ``node`` and others) with ``label`` (of the node's component) and ``component_id``, the smallest id of its rows.
 
