@@ -58,6 +58,9 @@ def test_preferences_with_null_turns_and_sides(spark):
     pairs = spark.createDataFrame(rows, f"conv_id long, chosen {turn}, rejected {turn}").withColumns({"prompt": F.lit("clash"), "_n": F.lit(5), "_sides": F.lit(6)})
     got = {r.conv_id: r for r in chat_format.format_preferences(pairs).collect()}
     assert [got[i].n_prompt_turns for i in range(1, 6)] == [1, 0, 1, 0, 1]
-    assert got[1].chosen_text == "<|im_start|>\n<|im_end|>\n" and got[1].rejected_text == "" and got[2].chosen_text == "" and got[2].rejected_mask == ["38-49"] or got[2].rejected_mask
+    assert got[1].chosen_text == "<|im_start|>\n<|im_end|>\n" and got[1].rejected_text == "" and got[2].chosen_text == ""
+    turn_of_q = len("<|im_start|>user\nq<|im_end|>\n")
+    first = turn_of_q + len("<|im_start|>assistant\n")
+    assert got[2].rejected_mask == [f"{first}-{first + len('a<|im_end|>')}"]
     assert got[3].prompt == "<|im_start|>user\n<|im_end|>\n" and got[4].prompt == "" and len(got[5].chosen_text) > 300_000
     assert got[1]._n == 5 and got[1]._sides == 6

@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from spotweave.llm import catalog, jaccard_join
+from spotweave.llm import catalog
 from tests.llm.test_llm import SF, groups_by_force
 
 
@@ -57,7 +57,7 @@ def test_op7(spark, docs):
     ids = sorted(docs)
     sizes, roots = groups_by_force([docs[i].text for i in ids], 3, 90, 100)
     assert [(got[i].n_shingles, got[i].component_id) for i in ids] == [(n, ids[r]) for n, r in zip(sizes, roots, strict=True)]
-    assert jaccard_join.STARS > 0
+    assert len({*roots}) < len(ids)
 
 
 def test_op8(spark, docs):
