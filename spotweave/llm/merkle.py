@@ -190,7 +190,7 @@ def manifest(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", fi
     rows = docs.select(F.col(doc_id).alias("id"), F.col(source).cast("string").alias("source"), leaf_of(*own).alias("digest"), at_hand.alias("fake"))
     common.small_batches(docs.sparkSession)
     with common.passing(docs.sparkSession):
-        leaves = places.placed(rows, ["source"], ["id", "digest"])
+        leaves = places.placed(common.written(rows), ["source"], ["id", "digest"])  # ranges are sampled from it, not from the texts
         sources = common.written(places.placed(leaves.select("source").distinct(), [], ["source"]).select("source", F.col("_place").alias("tree"), F.col("_size").alias("count")))
         numbered = leaves.join(common.sized(sources).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
         nodes = numbered.select("tree", F.col("_place").alias("place"), F.col("_size").alias("size"), "digest", "fake", "id")
