@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spotweave.functions import vectors as V
-from spotweave.operators import neighbours, selection
+from spotweave.operators import neighbours, pivots, selection
 from spotweave.sources import shared
 
 #: Components that are summed in one row.
@@ -72,7 +72,7 @@ def expression_weights(edges: DataFrame, feats: DataFrame, tau: float | None = N
 def mnn_edges(feats: DataFrame, k: int = 3, batch: str = "batch", key: str = "spot_id", vector: str = "feat") -> DataFrame:
     """Mutual k nearest neighbours by cosine between each two batches, in both directions, with weight 1."""
     unit = feats.select(key, batch, V.l2_normalise(vector).alias("_u"))
-    near = neighbours.block_neighbours(unit, unit, k, key=key, vector="_u", group=batch).select("i", "j")
+    near = pivots.pivot_neighbours(unit, unit, k, key=key, vector="_u", group=batch).select("i", "j")
     return near.intersect(near.select(F.col("j").alias("i"), F.col("i").alias("j"))).withColumn("w", F.lit(1.0))
 
 

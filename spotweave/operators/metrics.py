@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spotweave.operators import neighbours
+from spotweave.operators import neighbours, pivots, places
+from spotweave.sources import shared
 
 #: Rows of a block where all rows are held against all.
 BLOCK_ROWS = 4000
+#: Tasks that a value which many rows share is dealt to, and pairs up to which a signed-rank test's p is exact.
+TIE_SALTS, EXACT_PAIRS = 32, 256
 
 
 def labelled_only(rows: DataFrame, truth: str = "truth") -> DataFrame:
@@ -54,14 +57,14 @@ def refine(labels: DataFrame, coords: DataFrame, k: int = 6, key: str = "spot_id
 def vote(labels: DataFrame, near: DataFrame, k: int = 6, key: str = "spot_id", label: str = "pred") -> DataFrame:
     named = labels.select(F.col(key).alias("j"), F.col(label).alias("_l"))
     counts = near.join(named, "j").groupBy("i", "_l").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("i").agg(F.max_by("_l", F.struct("n", F.negative("_l"))).alias("_top"), F.max("n").alias("votes"))
+    best = counts.groupBy("i").agg(F.min_by("_l", F.struct(F.negative("n").alias("less"), F.col("_l"))).alias("_top"), F.max("n").alias("votes"))
     joined = labels.select(F.col(key), F.col(label)).join(best.withColumnRenamed("i", key), key)
     return joined.select(key, label, F.when(F.col("votes") > (k + 1) // 2, F.col("_top")).otherwise(F.col(label)).alias(f"{label}_refined"), "votes")
 
 
 def mixing(feats: DataFrame, k: int = 30, key: str = "spot_id", vector: str = "feat", batch: str = "batch") -> DataFrame:
     """(i, ilisi): the inverse Simpson index of the batches among the k nearest, the spot itself among them."""
-    near = neighbours.block_neighbours(feats, feats, k, include_self=True, key=key, vector=vector)
+    near = pivots.pivot_neighbours(feats, feats, k, include_self=True, key=key, vector=vector)
     batches = feats.select(F.col(key).cast("long").alias("j"), F.col(batch).alias("b"))
     counts = near.join(batches, "j").groupBy("i", "b").agg(F.count(F.lit(1)).cast("double").alias("c"))
     return counts.groupBy("i").agg((F.sum("c") * F.sum("c") / F.sum(F.col("c") * F.col("c"))).alias("ilisi"))
@@ -124,7 +127,7 @@ def silhouette(rows: DataFrame, sample: int | None = 5000, seed: int = 0, key: s
     shared = rows.sparkSession.sparkContext.broadcast(picked.toPandas())  # sample rows
 
     def widths(batches):
-        ref = shared.value
+        ref = held.value
         names, codes = np.unique(ref["l"].to_numpy().astype(str), return_inverse=True)
         points = np.array(ref["v"].tolist())
         sizes = np.bincount(codes)
@@ -156,25 +159,70 @@ def summary(runs: DataFrame, *by: str) -> DataFrame:
 
 
 def ranks_with_ties(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """``rows`` with ``rank``: the average rank of equal values."""
-    w = W.partitionBy(*by).orderBy(value) if by else W.orderBy(value)
-    ties = W.partitionBy(*by, value)
-    return rows.withColumn("rank", F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
+    """``rows`` with ``rank``: the average rank of equal values, among the rows alike in ``by`` or among all.
+
+    Places come from range partitions, so neither the table nor a group meets in one task. How many stand before a value and
+    how many have it is a row for each value.
+    """
+    own = rows.select(*rows.columns, F.struct(*by, F.col(value)).alias("_tie"))
+    found = places.placed(own, list(by), [value])
+    salt = F.pmod(F.col("_place"), F.lit(TIE_SALTS))
+    part = found.groupBy("_tie", salt.alias("_salt")).agg(F.min("_place").alias("_low"), F.count(F.lit(1)).alias("_n"))
+    ties = part.groupBy("_tie").agg(F.min("_low").alias("_low"), F.sum("_n").alias("_n"))
+    known = shared.written(part.select("_tie", "_salt").join(ties, "_tie"))
+    joined = found.withColumn("_salt", salt).join(known.withColumnsRenamed({"_tie": "_t", "_salt": "_s"}), (F.col("_salt") == F.col("_s")) & F.col("_tie").eqNullSafe(F.col("_t")))
+    return joined.select(*rows.columns, (F.col("_low") + (F.col("_n") + 1) / 2.0).alias("rank"))
 
 
-def signed_rank(differences: list[float]) -> tuple[float, float]:
-    """Wilcoxon's W+ and exact two-sided p of a few (at most 20) paired differences, by all signs."""
+def null_share(twice: list[int], plus: int) -> float:
+    """The exact two-sided p of a sum ``plus`` of some of the (doubled) ranks ``twice``, each in the sum or not by a coin.
+
+    The chances of all sums are built up rank by rank.
+    """
     import numpy as np
 
-    d = np.array([x for x in differences if x != 0])
-    if len(d) > 20:
-        raise ValueError("the exact test is for 20 pairs at most")
-    order = np.argsort(np.abs(d), kind="stable")
-    size = np.abs(d)[order]
-    ranks = np.empty(len(d))
-    ranks[order] = [(np.searchsorted(size, v, "left") + np.searchsorted(size, v, "right") + 1) / 2 for v in size]
-    plus = ranks[d > 0].sum()
-    signs = (np.arange(2 ** len(d))[:, None] >> np.arange(len(d))) & 1
-    sums = signs @ ranks
-    p = min(1.0, 2 * min(np.mean(sums <= plus + 1e-9), np.mean(sums >= plus - 1e-9)))
-    return float(plus), float(p)
+    chance = np.ones(1)
+    for r in twice:
+        grown = np.zeros(len(chance) + r)
+        grown[: len(chance)] = chance / 2
+        grown[r:] += chance / 2
+        chance = grown
+    return min(1.0, 2 * min(float(chance[: plus + 1].sum()), float(chance[plus:].sum())))
+
+
+def signed_ranks(pairs: DataFrame, difference: str, *by: str) -> DataFrame:
+    """(``by``, n, w_plus, w_minus, p): Wilcoxon's signed-rank test of the paired differences alike in ``by``, or of all.
+
+    Differences that are null, NaN or zero don't count; equal sizes share their average rank. p is exact up to ``EXACT_PAIRS`` pairs,
+    beyond by the normal law with the ranks' own variance.
+    """
+    import math
+
+    import pandas as pd
+
+    d = F.col(difference).cast("double")
+    known = pairs.where(d.isNotNull() & ~F.isnan(d) & (d != 0)).select(*by, F.abs(d).alias("_far"), (d > 0).alias("_up"))
+    ranked = shared.written(ranks_with_ties(known, "_far", *by).select(*by, F.round(F.col("rank") * 2).cast("long").alias("_twice"), "_up"))
+    keys = [F.col(b).alias(f"_b{k}") for k, b in enumerate(by)]
+    names = [f"_b{k}" for k in range(len(by))]
+    sums = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("_up"), F.col("_twice")).otherwise(0)).alias("plus"), F.sum("_twice").alias("every"), F.sum(F.col("_twice").cast("double") * F.col("_twice")).alias("squares"))
+    sums = shared.written(sums.where("n > 0"))
+    few = sums.where(F.col("n") <= EXACT_PAIRS).select(*names)
+    alike = F.lit(True)
+    for b, name in zip(by, names, strict=True):
+        alike &= F.col(b).eqNullSafe(F.col(name))
+    lists = ranked.join(few, alike).groupBy(*names).agg(F.collect_list("_twice").alias("ranks"))
+    same = F.lit(True)
+    for name in names:
+        same &= F.col(name).eqNullSafe(F.col(f"_x{name}"))
+    both = sums.join(lists.withColumnsRenamed({n: f"_x{n}" for n in names}), same, "left").select(*sums.columns, "ranks")
+
+    def test(batches):
+        for part in batches:
+            out = []
+            for n, plus, every, squares, ranks in zip(part["n"], part["plus"], part["every"], part["squares"], part["ranks"], strict=True):
+                out.append(null_share([int(r) for r in ranks], int(plus)) if n <= EXACT_PAIRS else math.erfc(abs(plus - every / 2) / math.sqrt(squares / 4) / math.sqrt(2)))
+            yield pd.DataFrame({**{k: part[k] for k in names}, "n": part["n"], "w_plus": part["plus"] / 2, "w_minus": (part["every"] - part["plus"]) / 2, "p": out})
+
+    schema = ", ".join([*(f"{k} {both.schema[k].dataType.simpleString()}" for k in names), "n long, w_plus double, w_minus double, p double"])
+    return both.mapInPandas(test, schema).withColumnsRenamed(dict(zip(names, by, strict=True)))

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spotweave.functions import vectors as V
-from spotweave.operators import baseline, experiment, graph, hierarchical, losses, metrics, mixture, neighbours, preprocess, sampling
+from spotweave.operators import baseline, experiment, graph, hierarchical, losses, metrics, mixture, neighbours, pivots, preprocess, sampling
 from spotweave.plans import fixtures as X
 from spotweave.sources import shared, tables
 
@@ -91,7 +91,7 @@ def jn2_knn_self(s, d):
 @query(f"WITH {X.SPOTS}, {X.near_feat(6, include_self=False)} {_NEAR}")
 def jn3_knn_embedding(s, d):
     spots = X.spots(s, d)
-    return _near(neighbours.block_neighbours(spots, spots, 6))
+    return _near(pivots.pivot_neighbours(spots, spots, 6))
 
 
 @query(f"WITH {X.SPOTS}, {X.near(1)} SELECT {_PAIRS}, round(d2, 6) + 0.0 AS d2 FROM near")
@@ -263,7 +263,7 @@ _VOTED = "SELECT CAST(s.i AS BIGINT) AS spot_id, CAST(s.pred AS BIGINT) AS pred,
 @query(f"WITH {X.SPOTS}, {X.near_feat(7)}, {_VOTE} {_VOTED}")
 def ag8_majority_vote(s, d):
     spots = X.spots(s, d)
-    near = neighbours.block_neighbours(spots, spots, 7, include_self=True)
+    near = pivots.pivot_neighbours(spots, spots, 7, include_self=True)
     return metrics.vote(spots, near.select("i", "j")).select(_long("spot_id"), _long("pred"), _long("pred_refined"), _long("votes"))
 
 
@@ -571,6 +571,23 @@ def wn7_average_ranks(s, d):
     return metrics.ranks_with_ties(per, "n", "method").select("method", "slice", F.col("rank").cast("double").alias("rank"))
 
 
+@query(f"""WITH RECURSIVE {X.RUNS}, p AS (SELECT method, slice, avg(ARI) AS v FROM runs GROUP BY 1, 2),
+d AS (SELECT x.method AS a, y.method AS b, round(x.v - y.v, 9) AS d FROM p x JOIN p y ON x.slice = y.slice AND x.method < y.method),
+r AS (SELECT a, b, d > 0 AS up, CAST(2 * rank() OVER (PARTITION BY a, b ORDER BY abs(d)) + count(*) OVER (PARTITION BY a, b, abs(d)) - 1 AS BIGINT) AS t, row_number() OVER (PARTITION BY a, b ORDER BY abs(d), d) AS k FROM d WHERE d <> 0),
+w AS (SELECT a, b, count(*) AS n, sum(CASE WHEN up THEN t ELSE 0 END) AS plus, sum(t) AS every FROM r GROUP BY 1, 2),
+chance AS (SELECT a, b, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS s, 1.0::DOUBLE AS c FROM w
+  UNION ALL SELECT h.a, h.b, h.k + 1, h.s + CASE WHEN coin = 1 THEN r.t ELSE 0 END, sum(h.c) / 2 FROM chance h JOIN r ON r.a = h.a AND r.b = h.b AND r.k = h.k + 1, (VALUES (0), (1)) AS v(coin) GROUP BY h.a, h.b, h.k, h.s + CASE WHEN coin = 1 THEN r.t ELSE 0 END)
+SELECT w.a, w.b, CAST(any_value(n) AS BIGINT) AS n, any_value(plus) / 2.0::DOUBLE AS w_plus, any_value(every - plus) / 2.0::DOUBLE AS w_minus,
+  round(least(1.0, 2 * least(sum(CASE WHEN s <= plus THEN c ELSE 0 END), sum(CASE WHEN s >= plus THEN c ELSE 0 END))), 6) + 0.0 AS p
+FROM w JOIN chance h ON h.a = w.a AND h.b = w.b AND h.k = w.n GROUP BY w.a, w.b""")
+def ag18_signed_ranks(s, d):
+    per = X.runs(s, d).groupBy("method", "slice").agg(F.avg("ARI").alias("v"))
+    other = per.select(F.col("method").alias("b"), "slice", F.col("v").alias("w"))
+    pairs = per.withColumnRenamed("method", "a").join(other, "slice").where("a < b").select("a", "b", F.round(F.col("v") - F.col("w"), 9).alias("d"))
+    out = metrics.signed_ranks(pairs, "d", "a", "b")
+    return out.select("a", "b", "n", "w_plus", "w_minus", V.r6("p").alias("p"))
+
+
 @query("SELECT CAST(event_id AS BIGINT) AS event_id, event_type AS name, json_extract_string(props, '$.k') AS k, event_type || '=' || props AS line FROM events")
 def or4_config_json(s, d):
     events = X.table(s, d, "events")

@@ -124,7 +124,8 @@ def test_silhouette_and_ranks(spark):
         s.append((b - a) / max(a, b))
     feats = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, y, strict=True))], "spot_id long, feat array<double>, pred int")
     assert metrics.silhouette(feats).first()[0] == pytest.approx(np.mean(s))
-    assert metrics.signed_rank([1.0, 2.0, -3.0, 4.0]) == (7.0, pytest.approx(0.625))
+    found = metrics.signed_ranks(spark.createDataFrame([(x,) for x in (1.0, 2.0, -3.0, 4.0)], "d double"), "d").first()
+    assert (found.n, found.w_plus, found.w_minus, found.p) == (4, 7.0, 3.0, pytest.approx(0.625))
     ranked = metrics.ranks_with_ties(spark.createDataFrame([(1,), (2,), (2,), (5,)], "v int"), "v").collect()
     assert sorted(r["rank"] for r in ranked) == [1.0, 2.5, 2.5, 4.0]
 
