@@ -4,12 +4,7 @@
 pair of blocks is one group, in which a matrix product finds who may be near and the distances of these are worked
 out as they are defined. It is exact, and therefore compares all with all: the rows sent are the rows times the number of blocks.
 
-``grid_neighbours`` takes points of a plane: points meet those of their own and the eight adjoining cells by equi-joins
-on the cell. The first width is the widest at which a point shares its cell with few others on average, so a far-off
-point doesn't put all others into one cell. A point is done when its k-th neighbour is nearer than the border of
-what it has seen; the others try again with wider cells. Points at one place are one place with its k + 1 smallest ids,
-so a place that holds a third of all points makes no pairs within itself. Each round's results and what is left are
-written tables, so the plan of the result is a scan. Points without a place have no neighbours.
+``grid_neighbours`` takes points of a plane and goes by tiles (``tiles``); for vectors in clusters there are pivot cells (``pivots``).
 """
 
 from __future__ import annotations
@@ -20,12 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spotweave.sources import shared
-
-#: Rows in a block of vectors, rows of a block compared at once, and points that share a cell at most, on average.
-BLOCK_ROWS, AT_ONCE, CELL_POINTS = 4000, 500, 12
-#: Halvings of the box that the first cells may take.
-LEVELS = 40
+from spotweave.operators import cover, tiles
+from spotweave.operators.cover import AT_ONCE, BLOCK_ROWS
 
 
 def block_neighbours(queries: DataFrame, points: DataFrame, k: int, include_self: bool = False, key: str = "spot_id", vector: str = "feat", group: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -44,7 +35,7 @@ def block_neighbours(queries: DataFrame, points: DataFrame, k: int, include_self
             for g, part in b.groupby("g", sort=True):
                 asking = a[a["g"] != g] if group else a
                 for at in range(0, len(asking), AT_ONCE):
-                    found.append(_nearest_in(asking.iloc[at : at + AT_ONCE], part, int(g), k, include_self))
+                    found.append(cover.nearest_in(asking.iloc[at : at + AT_ONCE], part, int(g), k, include_self))
         return pd.concat(found)
 
     met = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(near, "i long, g long, j long, d2 double")
@@ -52,80 +43,6 @@ def block_neighbours(queries: DataFrame, points: DataFrame, k: int, include_self
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("i", "g", "j", "rank", "d2")
 
 
-def _nearest_in(a: pd.DataFrame, b: pd.DataFrame, g: int, k: int, include_self: bool) -> pd.DataFrame:
-    x, y = np.array(a["v"].tolist()), np.array(b["v"].tolist())
-    middle = y.mean(axis=0)
-    u, v = x - middle, y - middle  # far-off points lose no digits
-    size_u, size_v = np.sum(u * u, axis=1), np.sum(v * v, axis=1)
-    far = size_u[:, None] + size_v - 2 * u @ v.T
-    mine, other = a["i"].to_numpy(), b["i"].to_numpy()
-    if not include_self:
-        far[mine[:, None] == other] = np.inf
-    limit = np.partition(far, k - 1, axis=1)[:, k - 1] if len(other) > k else np.full(len(mine), np.inf)
-    slack = 1e-9 * (size_u + size_v.max())  # rounding of the product
-    rows, cols = np.nonzero((far <= (limit + slack)[:, None]) & np.isfinite(far))
-    d2 = np.sum((y[cols] - x[rows]) ** 2, axis=1)  # as it is defined, so equal distances are equal numbers
-    order = np.lexsort((other[cols], d2, rows))
-    rows, cols, d2 = rows[order], cols[order], d2[order]
-    rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    top = rank < k
-    return pd.DataFrame({"i": mine[rows[top]], "g": np.full(int(top.sum()), g), "j": other[cols[top]], "d2": d2[top]})
-
-
-def _first_width(places: DataFrame, box, span: float) -> float:
-    """The widest cell, of the box's halvings, that a place shares with CELL_POINTS others at most, on average."""
-    finest = float(2**LEVELS) / span
-    at = lambda c: F.floor((F.col(c) - F.lit(box[f"{c}0"])) * F.lit(finest)).cast("long")
-    keyed = places.select(at("x").alias("cx"), at("y").alias("cy"), F.explode(F.sequence(F.lit(0), F.lit(LEVELS), F.lit(2))).alias("level"))
-    cells = keyed.groupBy("level", F.expr(f"shiftright(cx, {LEVELS} - level)"), F.expr(f"shiftright(cy, {LEVELS} - level)")).agg(F.count(F.lit(1)).cast("double").alias("c"))
-    crowd = cells.groupBy("level").agg((F.sum(F.col("c") * F.col("c")) / F.sum("c")).alias("crowd"))
-    fine = [r["level"] for r in crowd.where(F.col("crowd") <= CELL_POINTS).collect()]  # one row for each level
-    return span / 2 ** min(fine, default=LEVELS)
-
-
-def grid_neighbours(points: DataFrame, k: int, include_self: bool = False, key: str = "spot_id", x: str = "x", y: str = "y") -> DataFrame:
-    """(i, j, rank, d2): for each point of the plane its ``k`` nearest."""
-    spark = points.sparkSession
-    columns = [F.col(key).alias("i"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")]
-    folder = shared.shared_folder(spark)
-    with shared.passing(spark):
-        own = shared.written(points.select(*columns).where("x is not null and y is not null"))
-        few = own.withColumn("_r", F.row_number().over(W.partitionBy("x", "y").orderBy("i"))).where(F.col("_r") <= k + 1)
-        places = shared.written(few.groupBy("x", "y").agg(F.collect_list("i").alias("ids")))
-        box = places.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
-        if not box["n"]:
-            return points.select(F.col(key).alias("i"), F.col(key).alias("j"), F.lit(1).alias("rank"), F.lit(0.0).alias("d2")).limit(0)
-        span = max(box["x1"] - box["x0"], box["y1"] - box["y0"], 1e-300)
-        width = _first_width(places, box, span)
-        todo, turn = own, 0
-        while True:
-            whole = width >= span  # two cells on a side: all points are in view
-            complete = shared.written(_complete(todo, places, box, width, k, include_self, whole), keep=True, folder=f"{folder}/turn={turn}")
-            if whole:
-                break
-            todo = shared.written(todo.join(complete.select("i").distinct(), "i", "left_anti"))
-            if todo.isEmpty():
-                break
-            width *= 2 if turn < 1 else 4
-            turn += 1
-    return spark.read.parquet(folder).select("i", "j", "rank", "d2")
-
-
-def _complete(todo: DataFrame, places: DataFrame, box, width: float, k: int, include_self: bool, whole: bool) -> DataFrame:
-    """The neighbours of those points that have ``k`` within what cells of this width show."""
-    cell = lambda c, low: F.floor((F.col(c) - F.lit(low)) / F.lit(width)).cast("long")
-    x0, y0 = box["x0"], box["y0"]
-    around = F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    asked = todo.withColumn("cx", cell("x", x0)).withColumn("cy", cell("y", y0))
-    ring = asked.select("*", around.alias("_c")).withColumn("kx", F.col("cx") + F.col("_c.a")).withColumn("ky", F.col("cy") + F.col("_c.b")).drop("_c")
-    held = places.select(F.col("x").alias("px"), F.col("y").alias("py"), "ids", cell("x", x0).alias("kx"), cell("y", y0).alias("ky"))
-    met = ring.join(held, ["kx", "ky"]).withColumn("d2", (F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py")))
-    edge = F.least(F.col("x") - F.lit(x0) - (F.col("cx") - 1) * width, F.lit(x0) + (F.col("cx") + 2) * width - F.col("x"), F.col("y") - F.lit(y0) - (F.col("cy") - 1) * width, F.lit(y0) + (F.col("cy") + 2) * width - F.col("y"))
-    pairs = met.select("i", edge.alias("edge"), F.explode("ids").alias("j"), "d2")
-    if not include_self:
-        pairs = pairs.where("i <> j")
-    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("i").orderBy("d2", "j"))).where(F.col("rank") <= k)
-    if not whole:
-        size = W.partitionBy("i")
-        ranked = ranked.withColumn("_n", F.count(F.lit(1)).over(size)).withColumn("_far", F.max("d2").over(size)).where((F.col("_n") >= k) & (F.col("_far") < F.col("edge") * F.col("edge") * (1 - 1e-12)))
-    return ranked.select("i", "j", "rank", "d2")
+def grid_neighbours(points: DataFrame, k: int, include_self: bool = False, key: str = "spot_id", x: str = "x", y: str = "y", tile_rows: int = tiles.TILE_ROWS) -> DataFrame:
+    """(i, j, rank, d2): for each point of the plane its ``k`` nearest. Points without an id or a place have no neighbours."""
+    return tiles.tile_neighbours(points, k, include_self, key, x, y, tile_rows)

@@ -1,18 +1,13 @@
 """Exact k nearest neighbours of vectors by cells around pivots, with ties to the smaller id.
 
-1. Equal vectors of a group are one place with its k + 1 smallest ids; equal queries are one query. A vector that a third of all
-   rows share makes no pairs within itself.
-2. Pivots are a hashed sample, one for about ``CELL_ROWS`` places and ``MOST_PIVOTS`` at most; they are broadcast. Each place belongs to the
-   cell of its nearest pivot. For each cell and group, the number of ids and the least and largest distance from the pivot
-   are kept: one row for each. Cells near each other are packed until a pack has about ``PACK_ROWS`` places.
-3. First pass: a query looks into the packs of the nearest cells that hold k + 1 ids. Its (k + 1)-th distance so far is a bound.
-4. Second pass: by the triangle inequality, nothing in a cell is nearer to a query than the distance from its pivot less the cell's
-   largest distance, nor than the cell's least distance less that. A query goes to those other packs only that have a cell for
-   which this isn't above its bound. On vectors in clusters that is few packs; on vectors without any structure it is nearly all, and then
-   rows are sent as often as ``neighbours.block_neighbours`` sends them.
-5. A pack's queries and places are dealt to blocks of ``BLOCK_ROWS``; each pair of blocks is a group, compared in one product.
-
-With ``group``, each query's k nearest in each other group are found; else all rows are one group.
+Pivots are a hashed sample of the places, one for about ``CELL_ROWS`` and ``MOST_PIVOTS`` at most; they are broadcast. Each place belongs
+to the cell of its nearest pivot. For each cell and group, the number of ids and the least and largest distance from the pivot
+are kept. Cells near each other are packed until a pack has about ``PACK_ROWS`` places.
+
+By the triangle inequality, nothing in a cell is nearer to a query than the distance from its pivot less the cell's largest
+distance, nor than the cell's least distance less that. A query goes to those packs only that have a cell for which this isn't above its bound
+(``cover``). On vectors in clusters that is few packs; on vectors without any structure it is nearly all, and then rows are sent
+as often as ``neighbours.block_neighbours`` sends them.
 """
 
 from __future__ import annotations
@@ -21,16 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spotweave.operators import neighbours
-from spotweave.sources import shared
+from spotweave.operators import cover
 
-#: Places of a cell and of a pack on average, pivots at most, rows of a pack's block, tasks that a hot place's rows are dealt to.
-CELL_ROWS, PACK_ROWS, MOST_PIVOTS, BLOCK_ROWS, SALTS = 100, 2000, 4096, 4000, 32
+#: Places of a cell and of a pack on average, pivots at most.
+CELL_ROWS, PACK_ROWS, MOST_PIVOTS = 100, 2000, 4096
 #: Share of a vector's length that a distance by products may be off.
 OFF = 1e-7
 
@@ -38,19 +30,39 @@ OFF = 1e-7
 class Cells:
     """The pivots, the pack of each, and for each group and cell what is known of its places."""
 
-    def __init__(self, pivots: np.ndarray, packs: int = 1, known: pd.DataFrame | None = None):
+    def __init__(self, pivots: np.ndarray, packs: int = 1):
         self.pivots, self.middle = pivots, pivots.mean(axis=0)
         self.packs = packs
         self.pack = packed(pivots, packs)
         self.by_pack = np.argsort(self.pack, kind="stable")
         self.starts = np.searchsorted(self.pack[self.by_pack], np.arange(packs))
-        self.groups = {}
-        for g, rows in known.groupby("g") if known is not None else ():
-            n, low, high = np.zeros(len(pivots), np.int64), np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
+        self.groups: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def notes(self) -> list[Column]:
+        return [F.min("r").alias("low"), F.max("r").alias("high")]
+
+    def learn(self, known: pd.DataFrame) -> None:
+        """``n``, ``low`` and ``high`` of each group ``g`` and ``cell``."""
+        for g, rows in known.groupby("g"):
+            n, low, high = np.zeros(len(self.pivots), np.int64), np.full(len(self.pivots), np.inf), np.full(len(self.pivots), -np.inf)
             at = rows["cell"].to_numpy()
             n[at], low[at], high[at] = rows["n"], rows["low"], rows["high"]
             self.groups[int(g)] = (n, low, high)
 
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each row its pack, its cell, and the distance from the pivot."""
+        d, _ = self.distances(x)
+        cell = np.argmin(d, axis=1)
+        return self.pack[cell], cell, d[np.arange(len(d)), cell]
+
+    def looks(self, x: np.ndarray, g: int, enough: int, bound: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows and packs of group ``g`` that they look into, in the first pass or with ``bound`` in the second."""
+        d, off = self.distances(x)
+        go = self.to_packs(self.first(d, g, enough))
+        if bound is not None:
+            go = self.to_packs(self.reachable(d, off, g, bound)) & ~go
+        yield np.nonzero(go)
+
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distances of rows from all pivots, and how far they may be off."""
         a, b = x - self.middle, self.pivots - self.middle
@@ -94,119 +106,17 @@ def packed(pivots: np.ndarray, packs: int) -> np.ndarray:
     return out
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
-def _in_cells(places: DataFrame, cells) -> DataFrame:
-    """The places with ``cell``, its ``pack`` and ``r``, the distance from its pivot."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                d, _ = cells.value.distances(_matrix(batch.column(1)))
-                cell = np.argmin(d, axis=1)
-                more = [pa.array(cell.astype(np.int32)), pa.array(cells.value.pack[cell].astype(np.int32)), pa.array(d[np.arange(len(d)), cell])]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "cell", "pack", "r"])
-
-    return shared.written(places.select("j", "v", "g", "ids").mapInArrow(run, "j long, v array<double>, g long, ids array<long>, cell int, pack int, r double"))
-
-
-def visits(asked: DataFrame, cells, enough: int, other: bool) -> DataFrame:
-    """(p, v, g, pack): the packs of group ``g`` that each query looks into; with a column ``bounds`` (by group) of ``asked`` (p, v, own), in the second pass."""
-    second = "bounds" in asked.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = cells.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = batch.column(2).to_numpy()
-            d, off = known.distances(_matrix(batch.column(1)))
-            bounds = [dict(b) for b in batch.column(3).to_pylist()] if second else None
-            for g in known.groups:
-                go = known.to_packs(known.first(d, g, enough))
-                if second:
-                    bound = np.array([b.get(g, np.inf) for b in bounds])
-                    go = known.to_packs(known.reachable(d, off, g, bound)) & ~go
-                if other:
-                    go &= (own != g)[:, None]
-                rows, at = np.nonzero(go)
-                for k in range(0, len(rows), 10_000):
-                    part = pa.array(rows[k : k + 10_000])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(part), batch.column(1).take(part), pa.array(np.full(len(part), g, np.int64)), pa.array(at[k : k + 10_000].astype(np.int32))], names=["p", "v", "g", "pack"])
-
-    return asked.mapInArrow(run, "p long, v array<double>, g long, pack int")
-
-
-def _search(visiting: DataFrame, places: DataFrame, k: int) -> DataFrame:
-    """(p, g, j, d2): the ``k`` nearest ids that each query meets in each pack that it looks into."""
-    visiting = shared.written(visiting)
-    sizes = places.groupBy("g", "pack").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("np"))
-    blocks = visiting.groupBy("g", "pack").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("nq"))
-    blocks = F.broadcast(shared.written(blocks.join(sizes, ["g", "pack"])))  # a row for each group and pack
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = visiting.join(blocks, ["g", "pack"]).select("p", "v", "g", "pack", F.pmod(F.xxhash64("p"), F.col("nq")).alias("q"), every("np").alias("b"))
-    right = places.join(blocks, ["g", "pack"]).select("j", "v", "ids", "g", "pack", F.pmod(F.xxhash64("j"), F.col("np")).alias("b"), every("nq").alias("q"))
-
-    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(a) and len(b):
-            ids = b.set_index("j")["ids"]
-            for at in range(0, len(a), neighbours.AT_ONCE):
-                part = a.iloc[at : at + neighbours.AT_ONCE].rename(columns={"p": "i"})
-                top = neighbours._nearest_in(part, b.rename(columns={"j": "i"}), int(b["g"].iloc[0]), k, True)
-                found.append(pd.DataFrame({"p": top["i"], "g": top["g"], "ids": ids.loc[top["j"]].to_numpy(), "d2": top["d2"]}))
-        return pd.concat(found) if found else pd.DataFrame({"p": [], "g": [], "ids": [], "d2": []})
-
-    by = ["g", "pack", "q", "b"]
-    met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(near, "p long, g long, ids array<long>, d2 double")
-    return met.select("p", "g", F.explode("ids").alias("j"), "d2")
-
-
-def _best(found: DataFrame, k: int) -> DataFrame:
-    return found.withColumn("rank", F.row_number().over(W.partitionBy("p", "g").orderBy("d2", "j"))).where(F.col("rank") <= k).drop("rank")
-
-
 def pivot_neighbours(queries: DataFrame, points: DataFrame, k: int, include_self: bool = False, key: str = "spot_id", vector: str = "feat", group: str | None = None, cell_rows: int = CELL_ROWS, pack_rows: int = PACK_ROWS) -> DataFrame:
     """(i, g, j, rank, d2): for each query the ``k`` nearest points; with ``group``, the k nearest in each other group (g).
 
-    Rows without an id or a vector take no part. Vectors are of one length.
+    Rows without an id, a vector or (where asked for) a group take no part. Vectors are of one length.
     """
-    spark = queries.sparkSession
     own = [F.col(key).cast("long").alias("i"), F.transform(F.col(vector).cast("array<double>"), lambda x: x + F.lit(0.0)).alias("v"), (F.col(group).cast("long") if group else F.lit(0).cast("long")).alias("g")]
-    with shared.passing(spark):
-        asked, refs = (shared.written(side.select(*own).where("i is not null and v is not null and g is not null")) for side in (queries, points))
-        ranked = refs.groupBy("v", "g", F.pmod(F.xxhash64("i"), F.lit(SALTS)).alias("s")).agg(F.array_sort(F.collect_set("i")).alias("ids"))
-        few = ranked.select("v", "g", F.slice("ids", 1, k + 1).alias("ids")).groupBy("v", "g").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
-        held = shared.written(few.select(F.col("ids")[0].alias("j"), "v", "g", "ids"))
-        n = held.count()
-        empty = asked.select("i", "g", F.col("i").alias("j"), F.lit(1).alias("rank"), F.lit(0.0).alias("d2")).limit(0)
-        if not n or asked.isEmpty():
-            return shared.written(empty, keep=True)
+
+    def start(held: DataFrame, n: int) -> Cells:
         m = min(MOST_PIVOTS, max(1, -(-n // cell_rows)))
-        pivots = np.array([r["v"] for r in held.orderBy(F.xxhash64("v"), "v").limit(m).select("v").collect()], float)  # MOST_PIVOTS at most
-        packs = min(m, max(1, -(-n // pack_rows)))
-        held = _in_cells(held, spark.sparkContext.broadcast(Cells(pivots, packs)))
-        sizes = shared.written(held.groupBy("g", "cell").agg(F.sum(F.size("ids")).alias("n"), F.min("r").alias("low"), F.max("r").alias("high")))
-        if sizes.count() > shared.SMALL:
-            raise ValueError(f"more than {shared.SMALL} cells of groups: give fewer groups")
-        cells = spark.sparkContext.broadcast(Cells(pivots, packs, sizes.toPandas()))
-        # equal queries of a group are one, with the smallest id; their rows are looked up by salted keys
-        salted = asked.groupBy("v", "g", F.pmod(F.xxhash64("i"), F.lit(SALTS)).alias("s")).agg(F.min("i").alias("low"))
-        once = salted.groupBy("v", "g").agg(F.min("low").alias("p"))
-        parts = shared.written(salted.join(once, ["v", "g"]).select("v", "g", "s", "p"))
-        places = shared.written(parts.select("p", "v", F.col("g").alias("own")).dropDuplicates(["p", "own"]))
-        first = shared.written(_best(_search(visits(places, cells, k + 1, bool(group)), held, k + 1), k + 1))
-        bound = first.groupBy("p", "g").agg(F.count(F.lit(1)).alias("c"), F.sqrt(F.max("d2")).alias("u")).where(F.col("c") > k)
-        bounds = bound.groupBy("p").agg(F.map_from_entries(F.collect_list(F.struct("g", "u"))).alias("bounds"))
-        empty_map = F.create_map().cast("map<bigint,double>")
-        again = places.join(bounds, "p", "left").select("p", "v", "own", F.coalesce("bounds", empty_map).alias("bounds"))
-        second = _search(visits(again, cells, k + 1, bool(group)), held, k + 1)
-        lists = _best(first.unionByName(second), k + 1).groupBy("p", "g").agg(F.array_sort(F.collect_list(F.struct("d2", "j"))).alias("near"))
-        lists = shared.written(lists).withColumnRenamed("g", "to")
-        keyed = shared.written(parts.select("p", "s").distinct().join(lists, "p"))
-        rows = asked.withColumn("s", F.pmod(F.xxhash64("i"), F.lit(SALTS))).join(parts, ["v", "g", "s"]).select("i", "p", "s").join(keyed, ["p", "s"])
-        near = F.col("near") if include_self else F.filter("near", lambda x: x["j"] != F.col("i"))
-        out = rows.select("i", F.col("to").alias("g"), F.posexplode(F.slice(near, 1, k)).alias("at", "x"))
-        return shared.written(out.select("i", "g", F.col("x.j").alias("j"), (F.col("at") + 1).cast("int").alias("rank"), F.col("x.d2").alias("d2")), keep=True)
+        sample = np.array([r["v"] for r in held.orderBy(F.xxhash64("v"), "v").limit(m).select("v").collect()], float)  # MOST_PIVOTS at most
+        return Cells(sample, min(m, max(1, -(-n // pack_rows))))
+
+    asked = queries.select(*own)
+    return cover.neighbours(asked, asked if points is queries else points.select(*own), k, include_self, bool(group), start)

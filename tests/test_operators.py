@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spotweave.functions import vectors as V
-from spotweave.operators import experiment, graph, losses, metrics, mixture, neighbours, preprocess, sampling
+from spotweave.operators import experiment, graph, losses, metrics, mixture, neighbours, preprocess, sampling, tiles
 from spotweave.sources import tables
 
 
@@ -38,11 +38,9 @@ def test_a_far_point_makes_few_pairs_and_the_plan_is_a_scan(spark):
     rng = np.random.default_rng(3)
     points = [tuple(p) for p in rng.normal(size=(3000, 2))] + [(1e7, 1e7)]
     table = spots(spark, points)
-    box = table.agg(*[f(c).alias(f"{c}{n}") for c in "xy" for n, f in enumerate((F.min, F.max))]).first()
-    span = max(box["x1"] - box["x0"], box["y1"] - box["y0"])
-    width = neighbours._first_width(table, box, span)
-    cells = table.groupBy(F.floor((F.col("x") - box["x0"]) / width), F.floor((F.col("y") - box["y0"]) / width)).count()
-    assert cells.agg(F.sum(F.col("count") * F.col("count"))).first()[0] <= neighbours.CELL_POINTS * len(points)  # pairs within cells
+    sample = np.array(points)[np.random.default_rng(1).choice(len(points), 6 * tiles.SAMPLED, replace=False)]
+    sizes = np.unique(tiles.Tiles(sample, 6).place(np.array(points))[0], return_counts=True)[1]
+    assert np.sum(sizes * sizes) <= 3 * tiles.TILE_ROWS * len(points)  # pairs within tiles
     near = neighbours.grid_neighbours(table, 5)
     assert len(near._jdf.queryExecution().toString()) < 5000
     got = {(r.i, r.j, r["rank"]) for r in near.where("i % 100 = 0 or i = 3000").collect()}

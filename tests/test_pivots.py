@@ -54,7 +54,7 @@ def compared(n):
     d, off = cells.distances(x)
     own = np.argmin(d, axis=1)
     known = pd.DataFrame({"g": 0, "cell": own, "r": d[np.arange(n), own]}).groupby(["g", "cell"]).agg(n=("r", "size"), low=("r", "min"), high=("r", "max")).reset_index()
-    cells = pivots.Cells(pivot, packs, known)
+    cells.learn(known)
     size = np.bincount(cells.pack, weights=cells.groups[0][0])
     first = cells.to_packs(cells.first(d, 0, 6))
     bound = np.full(n, 0.02 * np.sqrt(8) * 2)  # a row's sixth neighbour is in its own cluster
