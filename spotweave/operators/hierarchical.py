@@ -16,10 +16,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotweave.operators import graph, losses, sampling, stages, tape
+from spotweave.operators import blocks, graph, losses, sampling, stages, tape
 from spotweave.sources import shared
 
 LOSSES = ("rec", "xlevel", "lg", "edge")
@@ -176,10 +177,10 @@ class Parts:
         decoded = _linear(p, "dec", tape.concat([z, x["hot"]]) if "hot" in x else z)
         return {"mean2": mean, "logvar2": logvar, "z2": z2, "z": z, "zd": tape.concat([z, decoded]), "hops2": weights, "levels": share}
 
-    def loss(self, n_rows: int):
+    def loss(self, n_rows: int, n_masked: int):
         """x, zd and the product of zd of both views, levels' means and variances -> loss: the row's share of rec, xlevel, lg, kl."""
         c = self.c
-        size, n_masked = size_of(c), max(1, round(c.mask * n_rows))
+        size = size_of(c)
 
         def bce(logit, label):
             return tape.softplus(logit) - logit * label
@@ -216,10 +217,40 @@ def _edge_part(tau: float, n_edges: int):
     return part
 
 
+class _Local:
+    """What a task needs to run the model on a block."""
+
+    def __init__(self, c: Config, batches: int):
+        self.c, self.batches = c, batches
+
+    def _in_block(self, p: dict, row: dict, parts: Parts):
+        """All of the model on a block's nodes: ids, the own ones' places, features, and the steps' outputs."""
+        c = self.c
+        ids, own, product = blocks.read(row)
+        x = np.array([r["x"] for r in row["rows"]], float)
+        src, views = ids, 1
+        both = 2 * ids
+        if c.local_global:
+            x, views = np.concatenate([x, np.array([r["px"] for r in row["rows"]], float)]), 2
+            src, both = np.concatenate([ids, [r["src"] for r in row["rows"]]]), np.concatenate([2 * ids, 2 * ids + 1])
+        more = {"hot": tape.Var(np.tile(np.eye(self.batches)[[r["batch"] for r in row["rows"]]], (views, 1)))} if self.batches else {}
+
+        def stack(h: tape.Var, n: int) -> tape.Var:
+            each = [h]
+            for _ in range(n):
+                each.append(product(each[-1]))
+            return tape.concat(each)
+
+        enc = parts.encoder(p, {"x": tape.Var(x), "src": tape.Var(src[:, None])}, both)
+        one = parts.first(p, {"stack": stack(enc["h"], c.hops[0])}, both)
+        two = parts.second(p, {"stack": stack(one["h"], c.hops[1]), "f0": enc["f0"], "z1": one["z1"], **more}, both)
+        return ids, own, x, product, one, two
+
+
 class Model:
     """A model of ``spots`` (``spot_id`` long, ``feat``, ``x``, ``y``, and ``batch`` 0, 1, ... where there are several)."""
 
-    def __init__(self, spots: DataFrame, c: Config):
+    def __init__(self, spots: DataFrame, c: Config, block_nodes: int = blocks.BLOCK_NODES):
         self.c, self.n = c, spots.count()
         columns = ["spot_id", F.col("feat").cast("array<double>").alias("feat"), "x", "y", *(["batch"] if "batch" in spots.columns else [])]
         self.spots = shared.written(spots.select(*columns))
@@ -232,13 +263,16 @@ class Model:
             mutual = graph.mnn_edges(narrow.join(self.spots.select("spot_id", "batch"), "spot_id"), c.mnn_k)
             edges = graph.binarise(graph.union_graph(edges, mutual))
         self.edges = shared.written(edges)
+        self.numbers = shared.written(sampling.numbered(self.spots.select("spot_id"), 0).select(F.col("spot_id").alias("j"), "at"))
+        self.made: tuple | None = None
+        self.held = blocks.dealt(self.spots, self.edges, sum(c.hops) + 1, block_nodes)
         self.set_weights(graph.expression_weights(self.edges, narrow) if c.expr_graph else self.edges)
         self.params = start(self.width, self.batches, c)
         self.history: list[dict[str, float]] = []
         self.first_losses: dict[str, float] | None = None
 
     def set_weights(self, weights: DataFrame) -> None:
-        self.weights = shared.written(weights.select("i", "j", "w"))
+        self.weights, self.dealt = shared.written(weights.select("i", "j", "w")), None
         one = graph.normalize_adj(self.weights, self.spots)
         self.adj = shared.written(one.select((F.col("i") * 2).alias("i"), (F.col("j") * 2).alias("j"), "v"))
 
@@ -275,9 +309,20 @@ class Model:
         t["two"] = stages.forward(t["in2"], parts.second, self.params, ["stack", "f0", "z1", *hot], ["mean2", "logvar2", "z2", "z", "zd", "hops2", "levels"])
         return t
 
+    def n_masked(self, epoch: int) -> int:
+        """The spots that the epoch masks (1 at least)."""
+        parts = Parts(self.c, epoch)
+
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([int(parts.masked(batch.column(0).to_numpy()).sum())], pa.int64())], names=["n"])
+
+        return max(1, self.spots.select("spot_id").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0)
+
     def _losses(self, t: dict[str, DataFrame], epoch: int, weights: dict[str, float] | None):
         """The values of the losses, and with ``weights`` also the gradients: of the parameters, and tables by step."""
         c, parts, size = self.c, Parts(self.c, epoch), size_of(self.c)
+        n_masked = self.n_masked(epoch)
         adj = self._both(c.local_global)
         sums = stages.product(adj, t["two"], "zd", size + self.width).withColumnRenamed("zd", "sum")
         own = t["two"].join(sums, "id").where("id % 2 = 0")
@@ -296,12 +341,12 @@ class Model:
         ends = shared.written(graph.at_ends(pairs, z, "z").select(F.monotonically_increasing_id().alias("id"), "i", "j", "a", "b", F.array("label").alias("label")))
         edge = _edge_part(c.tau, n_edges)
         if weights is None:
-            flat = stages.forward(rows, parts.loss(self.n), self.params, inputs, ["loss"]).agg(*[F.sum(F.col("loss")[k]).alias(f"l{k}") for k in range(4)]).first()
+            flat = stages.forward(rows, parts.loss(self.n, n_masked), self.params, inputs, ["loss"]).agg(*[F.sum(F.col("loss")[k]).alias(f"l{k}") for k in range(4)]).first()
             e = stages.forward(ends, edge, {}, ["a", "b", "label"], ["loss"]).agg(F.sum(F.col("loss")[0])).first()[0]
             values = dict(zip((*LOSSES[:3], "kl"), flat, strict=True)) | {"edge": e}
         else:
             upstream = F.array(*[F.lit(float(weights[k])) for k in (*LOSSES[:3], "kl")])
-            d_rows, grads, made = stages.backward_with_sums(rows.withColumn("d_loss", upstream), parts.loss(self.n), self.params, inputs, ["loss"])
+            d_rows, grads, made = stages.backward_with_sums(rows.withColumn("d_loss", upstream), parts.loss(self.n, n_masked), self.params, inputs, ["loss"])
             d_ends, _, e = stages.backward_with_sums(ends.withColumn("d_loss", F.array(F.lit(float(weights["edge"])))), edge, {}, ["a", "b", "label"], ["loss"])
             values = dict(zip((*LOSSES[:3], "kl"), made.tolist(), strict=True)) | {"edge": float(e[0])}
         if c.xlevel in ("spot", "nbr"):
@@ -376,19 +421,123 @@ class Model:
             weights["xlevel"] = 0.0
         return weights | {"kl": c.beta * min(1.0, epoch / max(1, c.epochs // 4))}
 
+    # --- epochs over blocks with halos
+
+    def _by_blocks(self) -> blocks.Dealt | None:
+        """The graph in blocks with halos, or None where products are joins."""
+        if self.c.xlevel not in ("none", "cos") or self.held is None:
+            return None
+        if self.dealt is None:
+            adj = self.adj.select(F.expr("i div 2").alias("i"), F.expr("j div 2").alias("j"), "v")
+            self.dealt = blocks.with_entries(self.held, adj)
+        return self.dealt
+
+    def _block_rows(self, dealt: blocks.Dealt, epoch: int) -> DataFrame:
+        """The blocks with their nodes' features (``rows``: x, batch; with two views also px and src)."""
+        own = self.spots.select("spot_id", F.col("feat").alias("x"), *([F.col("batch").cast("long").alias("batch")] if self.batches else []))
+        columns = ["x", *(["batch"] if self.batches else [])]
+        if self.c.local_global:
+            packed = own.select((F.col("spot_id") * 2).alias("id"), F.struct("x", F.col("spot_id").alias("src")).alias("pair"))
+            other = sampling.permuted(packed, self.c.seed * 100_003 + epoch, "id", "pair")
+            own = own.join(other.select(F.expr("id div 2").alias("spot_id"), F.col("pair.x").alias("px"), F.col("pair.src").alias("src")), "spot_id")
+            columns += ["px", "src"]
+        return shared.written(dealt.parts.join(dealt.grouped(own, columns, "rows"), "block"))
+
+    def _edges_of(self, z: DataFrame, epoch: int, weight: float) -> tuple[float, DataFrame]:
+        """The edge loss from the spots' ``z``, and (spot_id, g): its gradient at each spot, times ``weight``."""
+        n_edges = self.edges.count()
+        part, size = _edge_part(self.c.tau, n_edges), size_of(self.c)
+        negative = sampling.drawn(self.edges, self.numbers, self.n, epoch)
+        pairs = self.edges.select("i", "j", F.lit(1.0).alias("label")).union(negative)
+        ends = graph.at_ends(pairs, z, "z").select("i", "j", "a", "b", "label")
+
+        def run(batches):
+            total = 0.0
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = {k: tape.Var(stages._matrix(batch.column(n))) for n, k in ((2, "a"), (3, "b"))} | {"label": tape.Var(batch.column(4).to_numpy()[:, None])}
+                made = part({}, x, batch.column(0).to_numpy())["loss"]
+                total += float(made.value.sum())
+                tape.backward([(made, np.full(made.value.shape, weight))])
+                for n, k in ((0, "a"), (1, "b")):
+                    yield pa.RecordBatch.from_arrays([batch.column(n), stages._lists(x[k].grad)], names=["spot_id", "g"])
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), stages._lists(np.array([[total]]))], names=["spot_id", "g"])
+
+        both = shared.written(ends.mapInArrow(run, "spot_id long, g array<double>"))
+        value = both.where("spot_id is null").agg(F.sum(F.col("g")[0])).first()[0]
+        return float(value), _summed(both.where("spot_id is not null").withColumnRenamed("spot_id", "id"), size, "g").withColumnRenamed("id", "spot_id")
+
+    def _epoch_in_blocks(self, dealt: blocks.Dealt, epoch: int, weights: dict[str, float]) -> tuple[dict[str, float], stages.Params]:
+        """The losses and the gradients of an epoch: a pass over the blocks forward, the edges' loss, and a pass back."""
+        c, parts, n, size = self.c, Parts(self.c, epoch), self.n, size_of(self.c)
+        held, local = self.spots.sparkSession.sparkContext.broadcast(self.params), _Local(c, self.batches)
+        rows, names = self._block_rows(dealt, epoch), sorted(self.params)
+
+        def ahead(batches):
+            p = {k: tape.Var(v) for k, v in held.value.items()}
+            for batch in batches:
+                for row in batch.to_pylist():
+                    ids, own, _, _, _, two = local._in_block(p, row, parts)
+                    masked = parts.masked(ids[own]).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[own]), stages._lists(two["z"].value[own]), pa.array(masked)], names=["spot_id", "z", "masked"])
+
+        def back(batches):
+            step = None
+            for batch in batches:
+                for row in batch.to_pylist():
+                    p = {k: tape.Var(v) for k, v in held.value.items()}
+                    ids, own, x, product, one, two = local._in_block(p, row, parts)
+                    other = own + len(ids) if c.local_global else own
+                    sums = product(two["zd"])
+                    inputs = {k: two[k][own] for k in ("z", "z2", "mean2", "logvar2")} | {k: one[k][own] for k in ("z1", "mean1", "logvar1")}
+                    inputs |= {"x": tape.Var(x[own]), "sum": sums[own], "z_other": two["z"][other], "sum_other": sums[other]}
+                    loss = parts.loss(n, n_masked)(p, inputs, ids[own])["loss"]
+                    upstream = np.tile([weights[k] for k in (*LOSSES[:3], "kl")], (len(own), 1))
+                    tape.backward([(loss, upstream), (two["z"][own], np.array([r["g"] for r in row["edges"]], float))])
+                    flat = np.concatenate([*((np.zeros(p[k].value.size) if p[k].grad is None else p[k].grad.ravel()) for k in names), loss.value.sum(axis=0)])
+                    step = flat if step is None else step + flat
+            if step is not None:
+                yield pa.RecordBatch.from_arrays([stages._lists(step[None])], names=["sums"])
+
+        made = shared.written(rows.mapInArrow(ahead, "spot_id long, z array<double>, masked long"))
+        n_masked = max(1, made.agg(F.sum("masked")).first()[0])
+        edge, d_z = self._edges_of(made.select("spot_id", "z"), epoch, weights["edge"])
+        zeros = F.array_repeat(F.lit(0.0), size)
+        known = made.select("spot_id").join(d_z, "spot_id", "left").select("spot_id", F.coalesce("g", zeros).alias("g"))
+        both = rows.join(dealt.grouped(known, ["g"], "edges", own_only=True), "block")
+        summed = both.mapInArrow(back, "sums array<double>").select(F.posexplode("sums").alias("at", "s")).groupBy("at").agg(F.sum("s").alias("s")).toPandas()  # a row for each parameter
+        flat = np.zeros(len(summed))
+        flat[summed["at"]] = summed["s"]
+        cut = sum(v.size for v in self.params.values())
+        return dict(zip((*LOSSES[:3], "kl"), flat[cut:].tolist(), strict=True)) | {"edge": edge}, stages.unflatten(flat[:cut], self.params)
+
     def value_and_gradients(self, epoch: int) -> tuple[dict[str, float], stages.Params]:
-        """The losses of an epoch's draws, and the gradients of the total."""
+        """The losses of an epoch's draws, and the gradients of the total: over blocks with halos where they are small, else by joins."""
+        dealt = self._by_blocks()
+        if dealt is None:
+            return self.value_and_gradients_by_joins(epoch)
+        if self.c.auto_balance and self.c.balance == "init" and self.first_losses is None:
+            self.first_losses = self._losses(self._forward(epoch), epoch, None)[0]
+        weights = self.loss_weights(epoch)
+        values, grads = self._epoch_in_blocks(dealt, epoch, weights)
+        return values, self._with_logvars(values, grads, weights)
+
+    def _with_logvars(self, values: dict[str, float], grads: stages.Params, weights: dict[str, float]) -> stages.Params:
+        if self.c.auto_balance and self.c.balance == "kendall":
+            used = [1.0, float(self.c.xlevel != "none"), float(self.c.local_global), 1.0]
+            grads["logvars"] = np.array([[u * (1 - weights[k] * values[k]) for k, u in zip(LOSSES, used, strict=True)]])
+        return grads
+
+    def value_and_gradients_by_joins(self, epoch: int) -> tuple[dict[str, float], stages.Params]:
+        """The same with a join for each product."""
         t = self._forward(epoch)
         if self.c.auto_balance and self.c.balance == "init" and self.first_losses is None:
             self.first_losses = self._losses(t, epoch, None)[0]
         weights = self.loss_weights(epoch)
         values, grads, tables = self._losses(t, epoch, weights)
         more = self._backward(t, epoch, tables)
-        grads = {k: grads[k] + more[k] for k in self.params}
-        if self.c.auto_balance and self.c.balance == "kendall":
-            used = [1.0, float(self.c.xlevel != "none"), float(self.c.local_global), 1.0]
-            grads["logvars"] = np.array([[u * (1 - weights[k] * values[k]) for k, u in zip(LOSSES, used, strict=True)]])
-        return values, grads
+        return values, self._with_logvars(values, {k: grads[k] + more[k] for k in self.params}, weights)
 
     def total(self, values: dict[str, float], epoch: int) -> float:
         weights = self.loss_weights(epoch)
@@ -406,6 +555,7 @@ class Model:
         for epoch in range(c.epochs):
             if epoch in refine and c.expr_graph:
                 self.set_weights(graph.refine_graph(self.weights, graph.expression_weights(self.edges, self.embed(), vector="z"), c.refine_mix))
+            self._by_blocks()  # the blocks outlive the epoch's own tables
             with shared.passing(self.spots.sparkSession):
                 values, grads = self.value_and_gradients(epoch)
             self.params = steps.step(self.params, grads)
@@ -414,13 +564,19 @@ class Model:
                 progress(epoch, values)
         return self
 
+    def _outputs(self) -> dict[str, DataFrame]:
+        """The tables of a pass without mask and noise, made once for the parameters as they are."""
+        if self.made is None or self.made[0] is not self.params or self.made[1] is not self.adj:
+            self.made = (self.params, self.adj, self._forward(None))
+        return self.made[2]
+
     def embed(self) -> DataFrame:
         """(spot_id, z): the embedding from the means, without mask and noise."""
-        return self._forward(None)["two"].select(F.expr("id div 2").alias("spot_id"), "z")
+        return self._outputs()["two"].select(F.expr("id div 2").alias("spot_id"), "z")
 
     def attention(self) -> DataFrame:
         """(spot_id, hop_level1, hop_level2, levels): the shares of the hops, and of the levels where they are fused."""
-        t = self._forward(None)
+        t = self._outputs()
         both = t["one"].select("id", F.col("hops1").alias("hop_level1")).join(t["two"].select("id", F.col("hops2").alias("hop_level2"), "levels"), "id")
         return both.select(F.expr("id div 2").alias("spot_id"), "hop_level1", "hop_level2", *(["levels"] if self.c.fusion else []))
 

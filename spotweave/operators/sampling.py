@@ -62,10 +62,13 @@ def negative_edges(edges: DataFrame, spots: DataFrame, epoch: int | None = None,
     The draw is a place among all spots, so ids may be any numbers.
     """
     places = numbered(spots.select(key), 0, key).select(F.col(key).alias("j"), "at")
-    n = spots.agg(F.count(F.lit(1)).alias("_n"))
-    drawn = edges.select("i", "j").crossJoin(F.broadcast(n))  # one row is broadcast
+    return drawn(edges, places, spots.count(), epoch)
+
+
+def drawn(edges: DataFrame, places: DataFrame, n: int, epoch: int | None = None) -> DataFrame:
+    """``negative_edges`` from the spots' places (``j``, ``at``) and their number."""
     draw = F.conv(V.hashed("i", "j", F.lit("once" if epoch is None else epoch)), 16, 10).cast("long")
-    return drawn.select("i", F.pmod(draw, F.col("_n")).alias("at")).join(places, "at").select("i", "j", F.lit(0.0).alias("label"))
+    return edges.select("i", F.pmod(draw, F.lit(n)).alias("at")).join(places, "at").select("i", "j", F.lit(0.0).alias("label"))
 
 
 def permuted(rows: DataFrame, seed: int, key: str = "spot_id", vector: str = "feat") -> DataFrame:

@@ -70,6 +70,24 @@ def test_gradients_of_the_whole_model(spots, options):
     assert slope == pytest.approx(float(stages.flatten(grads) @ direction), rel=1e-4, abs=1e-7)
 
 
+@pytest.mark.parametrize("options", [{}, {"fusion": False, "xlevel": "none", "local_global": False, "batch_decoder": False}])
+def test_blocks_give_the_gradients_of_joins(spark, options):
+    rng = np.random.default_rng(4)
+    rows = [(5 * i, rng.normal(size=5).tolist(), float(i // 10) + 0.1 * rng.random(), float(i % 10) + 0.1 * rng.random(), int(i % 10 > 4)) for i in range(100)]
+    table = spark.createDataFrame(rows, "spot_id long, feat array<double>, x double, y double, batch int")
+    model = hierarchical.Model(table.drop("batch") if options else table, hierarchical.Config(**SMALL | {"mnn_k": 1} | options), block_nodes=25 if options else 4000)
+    if options:
+        assert model.held.where("own").count() == 100 < model.held.count() and model.held.select("block").distinct().count() >= 3
+    values, grads = model.value_and_gradients(1)
+    want, other = model.value_and_gradients_by_joins(1)
+    assert values == pytest.approx(want) and stages.flatten(grads) == pytest.approx(stages.flatten(other), rel=1e-8, abs=1e-11)
+
+
+def test_halos_that_are_too_large_leave_products_to_joins(spots):
+    model = hierarchical.Model(spots, hierarchical.Config(**SMALL), block_nodes=2)
+    assert model.held is None and model._by_blocks() is None
+
+
 def test_training_embedding_and_attention(spots):
     c = hierarchical.Config(**SMALL | {"epochs": 3, "rate": 0.02, "refine_graph": True, "refine_at": (0.4,)})
     seen = []
