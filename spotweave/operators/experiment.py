@@ -21,15 +21,15 @@ def pending(jobs: DataFrame, runs: DataFrame) -> DataFrame:
     return jobs.join(runs.select(*KEYS), KEYS, "left_anti")
 
 
-def parse_variants(lines: DataFrame, column: str = "line") -> DataFrame:
-    """(name, options): ``NAME=JSON`` split at the first sign; the options are a map of texts."""
+def parse_variants(lines: DataFrame, column: str = "line", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(name, options) and what to ``keep``: ``NAME=JSON`` split at the first sign; the options are a map of texts."""
     parts = F.split(column, "=", 2)
-    return lines.select(parts[0].alias("name"), F.from_json(parts[1], "map<string,string>").alias("options"))
+    return lines.select(*keep, parts[0].alias("name"), F.from_json(parts[1], "map<string,string>").alias("options"))
 
 
-def unknown_options(variants: DataFrame) -> DataFrame:
-    """(name, unknown): the options that no method takes."""
-    return variants.select("name", F.array_sort(F.array_except(F.map_keys("options"), F.array(*[F.lit(o) for o in OPTIONS]))).alias("unknown"))
+def unknown_options(variants: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(name, unknown) and what to ``keep``: the options that no method takes."""
+    return variants.select(*keep, "name", F.array_sort(F.array_except(F.map_keys("options"), F.array(*[F.lit(o) for o in OPTIONS]))).alias("unknown"))
 
 
 def config_key(variants: DataFrame) -> DataFrame:

@@ -591,9 +591,54 @@ def ag18_signed_ranks(s, d):
 @query("SELECT CAST(event_id AS BIGINT) AS event_id, event_type AS name, json_extract_string(props, '$.k') AS k, event_type || '=' || props AS line FROM events")
 def or4_config_json(s, d):
     events = X.table(s, d, "events")
-    lines = events.select("event_id", F.concat_ws("=", "event_type", "props").alias("line"))
-    parts = F.split("line", "=", 2)
-    return lines.select(_long("event_id"), parts[0].alias("name"), F.from_json(parts[1], "map<string,string>")["k"].alias("k"), "line")
+    lines = events.select(_long("event_id"), F.concat_ws("=", "event_type", "props").alias("line"))
+    found = experiment.parse_variants(lines, keep=("event_id", "line"))
+    return found.select("event_id", "name", F.col("options")["k"].alias("k"), "line")
+
+
+@query("SELECT CAST(event_id AS BIGINT) AS event_id, event_type AS name, CASE WHEN json_extract_string(props, '$.k') IS NULL THEN '' WHEN event_id % 3 = 0 THEN 'k,odd' ELSE 'k' END AS unknown FROM events")
+def set6_unknown_options(s, d):
+    """Options of each event's line; of every third, one more that no method takes, beside one that methods take."""
+    more = F.when(F.col("event_id") % 3 == 0, F.regexp_replace("props", r"\}$", ', "odd": 1, "fusion": true}')).otherwise(F.col("props"))
+    lines = X.table(s, d, "events").select(_long("event_id"), F.concat_ws("=", "event_type", more).alias("line"))
+    found = experiment.unknown_options(experiment.parse_variants(lines, keep=("event_id",)), keep=("event_id",))
+    return found.select("event_id", "name", F.array_join("unknown", ",").alias("unknown"))
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS spot_id, CAST(o_custkey AS BIGINT) AS customer, c_name AS name FROM orders JOIN customer ON c_custkey = o_custkey")
+def jn9_strict_lookup(s, d):
+    orders = X.table(s, d, "orders").select(_long("o_orderkey", "spot_id"), _long("o_custkey", "customer"))
+    names = X.table(s, d, "customer").select(_long("c_custkey", "customer"), F.col("c_name").alias("name"))
+    return tables.strict_lookup(orders, names, "customer").select("spot_id", "customer", "name")
+
+
+@query(f"WITH {X.SPOTS} SELECT CAST(i AS BIGINT) AS spot_id, round(CASE WHEN x > 0 THEN x ELSE exp(x) - 1 END, 6) + 0.0 AS elu, round(greatest(x, 0), 6) + 0.0 AS relu FROM spots")
+def sc8_activations(s, d):
+    return X.spots(s, d).select(_long("spot_id"), V.r6(V.elu("x")).alias("elu"), V.r6(V.relu("x")).alias("relu"))
+
+
+_FOUR = ", ".join(f"list_inner_product(feat[{1 + 16 * k}:{16 * k + 16}], feat[{1 + 16 * k}:{16 * k + 16}]) AS l{k}" for k in range(4))
+
+
+@query(f"""WITH {X.SPOTS}, l AS (SELECT i, x, y, {_FOUR} FROM spots)
+SELECT CAST(i AS BIGINT) AS spot_id, round(exp(-x) * l0 + x + exp(-y) * l1 + y + exp(-x) * l2 + x + exp(-y) * l3 + y, 6) + 0.0 AS kendall,
+  round(l0 / greatest(l1, 0.001) + l1 / greatest(l2, 0.001) + l2 / greatest(l3, 0.001) + l3 / greatest(l0, 0.001), 6) + 0.0 AS init, round(10 * l0 + 0.3 * l1 + 1 * l2 + 0.1 * l3, 6) + 0.0 AS manual FROM l""")
+def ls9_balanced(s, d):
+    """The total of four losses (the squares of each spot's features, by sixteens) in each mode of balance."""
+    each = {k: V.dot(F.slice("feat", 1 + 16 * n, 16), F.slice("feat", 1 + 16 * n, 16)) for n, k in enumerate(hierarchical.LOSSES)}
+    names = list(each)
+    rows = X.spots(s, d).select("spot_id", "x", "y", *[v.alias(k) for k, v in each.items()])
+    held = {k: F.col(k) for k in names}
+    spread = {k: F.col("xy"[n % 2]) for n, k in enumerate(names)}
+    first = {k: F.col(names[(n + 1) % 4]) for n, k in enumerate(names)}
+    modes = {"kendall": losses.balanced(held, "kendall", log_vars=spread), "init": losses.balanced(held, "init", first=first), "manual": losses.balanced(held, "manual")}
+    return rows.select(_long("spot_id"), *[V.r6(v).alias(k) for k, v in modes.items()])
+
+
+@query(f"WITH {X.SPOTS}, w AS (SELECT i, exp(x) / (exp(x) + exp(y)) AS a, exp(y) / (exp(x) + exp(y)) AS b FROM spots) SELECT CAST(i AS BIGINT) AS spot_id, round(a * (ln(a) - ln(0.7::DOUBLE)) + b * (ln(b) - ln(0.3::DOUBLE)), 6) + 0.0 AS kl FROM w")
+def ls11_hop_prior(s, d):
+    weights = V.softmax(F.array("x", "y"))
+    return X.spots(s, d).select(_long("spot_id"), V.r6(losses.hop_prior_kl(weights, [0.7, 0.3])).alias("kl"))
 
 
 # --- fitted operators: tests hold them against NumPy
