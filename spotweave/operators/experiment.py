@@ -17,7 +17,13 @@ def job_grid(methods: DataFrame, slices: DataFrame, seeds: DataFrame) -> DataFra
 
 
 def pending(jobs: DataFrame, runs: DataFrame) -> DataFrame:
-    """The jobs that have no record."""
+    """The jobs that have no record. Where both have ``options``, a record of others doesn't count, but one without does."""
+    if "options" in jobs.columns and "options" in runs.columns:
+        done = runs.select(*[F.col(k).alias(f"_{k}") for k in [*KEYS, "options"]])
+        same = F.coalesce(F.col("_options"), F.col("options")) == F.col("options")
+        for k in KEYS:
+            same &= F.col(k) == F.col(f"_{k}")
+        return jobs.join(done, same, "left_anti")
     return jobs.join(runs.select(*KEYS), KEYS, "left_anti")
 
 

@@ -1,18 +1,21 @@
 """Runs of models over slices: what is still to run, one run, and the command line.
 
 ``python -m spotweave.runner --data ROOT --out RUNS --methods adaptive baseline --seeds 0 1`` loads each slice once, runs each
-(method, slice, seed) that has no record yet, and appends a record as it ends, so it can be stopped and started again.
-``--config NAME={"option": value}`` adds a variant. A run is a chain of Spark jobs; ``--workers`` of them are in flight at once.
+(method, slice, seed) that has no record with its options yet, and adds its record as it ends, so it can be stopped and started again.
+``--config NAME={"option": value}`` adds a variant. A run is a chain of Spark jobs; ``--workers`` of them are in flight at once, each in a
+pool of its own, so that under fair scheduling none waits for another's long stage.
 """
 
 from __future__ import annotations
 
 import argparse
+import hashlib
 import json
 import time
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor, as_completed
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,12 +76,18 @@ def cached(spark: SparkSession, root: str, cache: str, slice_id: str) -> slices.
     return slices.Slice(held.drop("n_pcs", "seed", "slice"), (slice_id,), slices.clusters_of(slice_id))
 
 
-def jobs_left(spark: SparkSession, out: str, methods: list[str], slice_ids: list[str], seeds: list[int]) -> list[tuple[str, str, int]]:
-    """(method, slice, seed) of the jobs without a record, seed by seed."""
+def options_key(options: dict) -> str:
+    """A digest of a method's options."""
+    return hashlib.md5(json.dumps(options, sort_keys=True).encode()).hexdigest()
+
+
+def jobs_left(spark: SparkSession, out: str, methods: list[str], slice_ids: list[str], seeds: list[int], configs: dict[str, dict]) -> list[tuple[str, str, int]]:
+    """(method, slice, seed) of the jobs without a record with their options, seed by seed."""
     lists = [spark.createDataFrame([(v,) for v in values], f"{name} {kind}") for name, kind, values in (("method", "string", methods), ("slice", "string", slice_ids), ("seed", "int", seeds))]
-    jobs = experiment.job_grid(*lists)
+    keys = spark.createDataFrame([(m, options_key(configs.get(m, {}))) for m in methods], "method string, options string")
+    jobs = experiment.job_grid(*lists).join(F.broadcast(keys), "method")  # a row for each method
     try:
-        jobs = experiment.pending(jobs, tables.read_runs(spark, out))
+        jobs = experiment.pending(jobs, tables.read_records(spark, out))
     except Exception as error:  # no run yet
         if "PATH_NOT_FOUND" not in str(error):
             raise
@@ -87,16 +96,22 @@ def jobs_left(spark: SparkSession, out: str, methods: list[str], slice_ids: list
 
 def run_all(spark: SparkSession, root: str, out: str, cache: str, methods: list[str], slice_ids: list[str], seeds: list[int], configs: dict[str, dict], workers: int = 1) -> int:
     """Run what has no record; how many runs that were. A method without options known raises an error."""
-    left = jobs_left(spark, out, methods, slice_ids, seeds)
+    left = jobs_left(spark, out, methods, slice_ids, seeds, configs)
     if unknown := sorted({m for m, _, _ in left} - set(configs)):
         raise KeyError(f"unknown methods: {unknown}")
     data = {s: cached(spark, root, cache, s) for s in slice_ids}
-    print(f"{len(left)} runs to do", flush=True)
+    print(f"{len(left)} of {len(methods) * len(slice_ids) * len(seeds)} runs have no record yet", flush=True)
+
+    def run(at: int, method: str, slice_id: str, seed: int) -> dict:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"run-{at % workers}")
+        spark.sparkContext.setJobGroup(f"{method}-{slice_id}-{seed}", f"{method} on {slice_id}, seed {seed}")
+        record = run_one(data[slice_id], method, configs[method], seed)
+        tables.write_run(spark, record | {"options": options_key(configs[method])}, out)
+        return record
+
     with ThreadPoolExecutor(workers) as pool:
-        for done in as_completed([pool.submit(run_one, data[s], m, configs[m], seed) for m, s, seed in left]):
-            record = done.result()
-            tables.append_runs(spark.createDataFrame([tuple(record[k] for k in tables.RUN_FIELDS)], tables.RUNS), out)
-            print(" ".join(f"{k}={v:.3f}" if isinstance(v, float) else f"{k}={v}" for k, v in record.items()), flush=True)
+        for done in as_completed([pool.submit(inheritable_thread_target(spark)(run), at, *job) for at, job in enumerate(left)]):
+            print(" ".join(f"{k}={v:.3f}" if isinstance(v, float) else f"{k}={v}" for k, v in done.result().items()), flush=True)
     return len(left)
 
 
@@ -113,7 +128,7 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("--workers", type=int, default=4)
     given = parser.parse_args(args)
     methods = list(dict.fromkeys([*given.methods, *(c.split("=", 1)[0] for c in given.config)]))
-    spark = SparkSession.builder.appName("spotweave").getOrCreate()
+    spark = SparkSession.builder.appName("spotweave").config("spark.scheduler.mode", "FAIR").getOrCreate()
     run_all(spark, given.data, given.out, given.cache or f"{given.out.rstrip('/')}-cache", methods, given.slices, given.seeds, configs_of(given.config), given.workers)
 
 

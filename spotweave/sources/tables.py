@@ -6,6 +6,10 @@ count matrix that comes as HDF5 has to be turned into the long table before; the
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,3 +84,28 @@ def append_runs(runs: DataFrame, path: str) -> None:
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Run records with their schema: slice names are digits, but strings."""
     return spark.read.schema(RUNS).json(path)
+
+
+def write_run(spark: SparkSession, record: dict, path: str) -> bool:
+    """A finished run (with ``options``, a digest of them) as a file of its own; False if there is one already.
+
+    The file is written under a hidden name and renamed, so a reader sees whole records only, and its name follows from the run, so
+    a run that is done twice has one record. A crash leaves at most a hidden file.
+    """
+    fields = {k: record.get(k) for k in [*RUN_FIELDS, "options"]}
+    name = hashlib.md5("|".join(str(fields[k]) for k in ("method", "slice", "seed", "options")).encode()).hexdigest()
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    target, making = to_path(path, f"{name}.json"), to_path(path, f".{name}-{uuid.uuid4().hex}.json")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(making, True)
+    out.write(bytearray((json.dumps(fields) + "\n").encode()))
+    out.close()
+    if files.exists(target) or not files.rename(making, target):
+        files.delete(making, False)
+        return False
+    return True
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """``read_runs`` with ``options``: null in records of other tools."""
+    return spark.read.schema(f"{RUNS}, options string").json(path)
