@@ -34,7 +34,7 @@ from spotweave.llm import common
 
 MARK = "▁"
 #: Words (and neighbours) that a worker remembers in each of two generations, letters above which a word isn't remembered.
-REMEMBERED, LONG_WORD = 300_000, 200
+REMEMBERED, LONG_WORD = 150_000, 200
 LETTERS, SIGNS, SPACES = "A-Za-zÀ-ÖØ-öø-ɏ", ".,;:!?*$%&\"()", "\n\t\r"
 NEVER = float("-inf")
 
