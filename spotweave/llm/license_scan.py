@@ -132,24 +132,19 @@ def covered(template: list[int], window: list[int]) -> tuple[int, int]:
     """The words of ``template`` in its longest common subsequence with ``window``, and the place of the first word of the
     window that such an alignment needs: the last start that loses none.
 
-    Bits of one number stand for the template's words, a step for each word of the window.
+    Bits of one number stand for the template's words, a step for each word of the window. Both are read backwards, so that
+    one pass tells what each start reaches: the last start to reach the most is where the number last grew.
     """
     masks: dict[int, int] = {}
-    for at, word in enumerate(template):
+    for at, word in enumerate(reversed(template)):
         masks[word] = masks.get(word, 0) | 1 << at
-    every = (1 << len(template)) - 1
-
-    def length(words: list[int]) -> int:
-        row = every
-        for word in words:
-            if hit := row & masks.get(word, 0):
-                row = (row + hit | row - hit) & every
-        return len(template) - row.bit_count()
-
-    most = length(window)
-    first = next((at for at, word in enumerate(window) if word in masks), 0)
-    while first + 1 < len(window) and length(window[first + 1 :]) == most:
-        first += 1
+    every = row = (1 << len(template)) - 1
+    most = first = 0
+    for at in range(len(window) - 1, -1, -1):
+        if hit := row & masks.get(window[at], 0):
+            row = (row + hit | row - hit) & every
+            if (reached := len(template) - row.bit_count()) > most:
+                most, first = reached, at
     return most, first
 
 

@@ -329,6 +329,45 @@ def test_groups_of_very_long_texts_and_of_a_large_family(spark):
 # --- licences
 
 
+def test_the_words_covered_and_their_last_start_by_force():
+    def common_length(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = _next(row, x, b)
+        return row[-1]
+
+    def _next(row, x, b):
+        new = [0]
+        for k, y in enumerate(b):
+            new.append(row[k] + 1 if x == y else max(row[k + 1], new[-1]))
+        return new
+
+    rng = random.Random(3)
+    for _ in range(400):
+        template = [rng.randrange(6) for _ in range(rng.randrange(1, 12))]
+        window = [rng.randrange(-1, 7) for _ in range(rng.randrange(0, 16))]
+        most = common_length(template, window)
+        got, first = license_scan.covered(template, window)
+        assert got == most
+        if most:
+            assert first == max(at for at in range(len(window)) if common_length(template, window[at:]) == most)
+
+
+def test_a_text_of_many_licences_costs_a_pass_over_each_window(monkeypatch):
+    index = license_scan.Index(license_scan.TEMPLATES)
+    scanner = license_scan.Scanner(index, np.ones(len(index.words), np.int64))
+    label, _, _, words = max((t for t in index.templates if t[0] == "mit"), key=lambda t: len(t[3]))
+    one = np.array(words)
+    seen = []
+    covered = license_scan.covered
+    monkeypatch.setattr(license_scan, "covered", lambda t, w: seen.append(len(w)) or covered(t, w))
+    assert (label, 0, 1.0) in scanner.matches(one)
+    alone = sum(seen)
+    seen.clear()
+    assert (label, 0, 1.0) in scanner.matches(np.tile(one, 20))
+    assert sum(seen) < 60 * alone  # follows the text's length, not its square
+
+
 def test_licenses_base_and_templates(spark):
     mit = [t for label, _, _, t in license_scan.TEMPLATES if label == "mit"][1]
     texts = ["plain words", "x Licensed under the Apache License, Version 2.0. apache license", "see GNU General Public License now", mit.upper() + " tail", " ".join(w for i, w in enumerate(mit.split()) if i != 10), "CC BY-NC 4.0: Licensed under CC BY-NC 4.0.", None, ""]
