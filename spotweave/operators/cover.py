@@ -97,9 +97,10 @@ def _search(visiting: DataFrame, places: DataFrame, k: int) -> DataFrame:
     sizes = places.groupBy("g", "pack").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("np"))
     blocks = visiting.groupBy("g", "pack").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("nq"))
     blocks = F.broadcast(blocks.join(sizes, ["g", "pack"]))  # a row for each group and pack
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")  # noqa: E731  (the type of ``every``: unlike types go to unlike partitions and never meet)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = visiting.join(blocks, ["g", "pack"]).select("p", "v", "g", "pack", F.pmod(F.xxhash64("p"), F.col("nq")).alias("q"), every("np").alias("b"))
-    right = places.join(blocks, ["g", "pack"]).select("j", "v", "ids", "g", "pack", F.pmod(F.xxhash64("j"), F.col("np")).alias("b"), every("nq").alias("q"))
+    left = visiting.join(blocks, ["g", "pack"]).select("p", "v", "g", "pack", own("p", "nq").alias("q"), every("np").alias("b"))
+    right = places.join(blocks, ["g", "pack"]).select("j", "v", "ids", "g", "pack", own("j", "np").alias("b"), every("nq").alias("q"))
 
     def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -109,7 +110,8 @@ def _search(visiting: DataFrame, places: DataFrame, k: int) -> DataFrame:
                 part = a.iloc[at : at + AT_ONCE].rename(columns={"p": "i"})
                 top = nearest_in(part, b.rename(columns={"j": "i"}), int(b["g"].iloc[0]), k, True)
                 found.append(pd.DataFrame({"p": top["i"], "g": top["g"], "ids": ids.loc[top["j"]].to_numpy(), "d2": top["d2"]}))
-        return pd.concat(found) if found else pd.DataFrame({"p": [], "g": [], "ids": [], "d2": []})
+        none = pd.DataFrame({"p": np.empty(0, np.int64), "g": np.empty(0, np.int64), "ids": np.empty(0, object), "d2": np.empty(0)})  # lists must be objects for Arrow
+        return pd.concat(found) if found else none
 
     by = ["g", "pack", "q", "b"]
     met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(near, "p long, g long, ids array<long>, d2 double")
