@@ -124,7 +124,7 @@ def silhouette(rows: DataFrame, sample: int | None = 5000, seed: int = 0, key: s
     if sample is None:
         return silhouette_of_all(rows, key, vector, label)
     picked = rows.select(F.col(label).cast("string").alias("l"), F.col(vector).cast("array<double>").alias("v"), F.xxhash64(key, F.lit(seed)).alias("h"), key).orderBy("h", key).limit(sample).select("l", "v").cache()
-    shared = rows.sparkSession.sparkContext.broadcast(picked.toPandas())  # sample rows
+    held = rows.sparkSession.sparkContext.broadcast(picked.toPandas())  # sample rows
 
     def widths(batches):
         ref = held.value
