@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from spotweave.operators import neighbours, pivots, places
 from spotweave.sources import shared
 
-#: Rows of a block where all rows are held against all.
-BLOCK_ROWS = 4000
+#: Where all rows are held against all: rows of a block, blocks up to which they stay so small, and rows that a block grows to before there are more.
+BLOCK_ROWS, FEW_BLOCKS, MOST_ROWS = 4000, 8, 64_000
 #: Tasks that a value which many rows share is dealt to, and pairs up to which a signed-rank test's p is exact.
 TIE_SALTS, EXACT_PAIRS = 32, 256
 
@@ -73,13 +73,14 @@ def mixing(feats: DataFrame, k: int = 30, key: str = "spot_id", vector: str = "f
 def silhouette_of_all(rows: DataFrame, key: str = "spot_id", vector: str = "feat", label: str = "pred", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row (silhouette): the mean over all rows, by Euclidean distance to all others.
 
-    Rows are dealt to blocks by hash, and each pair of blocks is one group of two times ``block_rows`` rows or so; what a
-    row adds up for each label is merged by aggregation.
+    Rows are dealt to blocks by hash, and each pair of blocks is one group; what a row adds up for each label is merged by aggregation. A row is sent
+    twice for each block, so there are ``FEW_BLOCKS`` of more than ``block_rows`` rows until these reach ``MOST_ROWS``. A group is compared by tiles.
     """
     import numpy as np
     import pandas as pd
 
-    blocks = max(1, -(-rows.count() // block_rows))
+    n = rows.count()
+    blocks = max(1, min(-(-n // block_rows), FEW_BLOCKS), -(-n // MOST_ROWS))
     copies = W.partitionBy(key).orderBy(F.col(label).cast("string"), vector)  # rows with the same key are rows of their own
     numbered = rows.select(key, F.col(label).cast("string").alias("l"), F.col(vector).cast("array<double>").alias("v"), F.row_number().over(copies).alias("copy"))
     dealt = numbered.select(F.struct(F.col(key).alias("k"), "copy").alias("r"), "l", "v", F.pmod(F.xxhash64(key, "copy"), F.lit(blocks)).cast("int").alias("own")).select(F.to_json("r").alias("r"), "l", "v", "own")
@@ -91,15 +92,19 @@ def silhouette_of_all(rows: DataFrame, key: str = "spot_id", vector: str = "feat
         out = []
         if len(a) and len(b):
             names, codes = np.unique(b["l"].fillna("None").to_numpy().astype(str), return_inverse=True)
-            x, y, other = np.array(a["v"].tolist()), np.array(b["v"].tolist()), b["r"].to_numpy()
+            x, y = np.array(a["v"].tolist()), np.array(b["v"].tolist())
             middle = y.mean(axis=0)  # so that far-off points lose no digits
             x, y = x - middle, y - middle
-            member = (codes[:, None] == np.arange(len(names))).astype(float)
+            member, size = (codes[:, None] == np.arange(len(names))).astype(float), np.sum(y**2, axis=1)
+            same = pd.Index(b["r"]).get_indexer(a["r"])  # where a row meets itself
             for at in range(0, len(a), 500):
-                part = x[at : at + 500]
-                d = np.sqrt(np.maximum(np.sum(part**2, axis=1)[:, None] + np.sum(y**2, axis=1) - 2 * part @ y.T, 0.0))
-                d[a["r"].to_numpy()[at : at + 500, None] == other] = 0.0
-                sums = d @ member
+                part, sums = x[at : at + 500], 0.0
+                for to in range(0, len(b), BLOCK_ROWS):
+                    d = np.sqrt(np.maximum(np.sum(part**2, axis=1)[:, None] + size[to : to + BLOCK_ROWS] - 2 * part @ y[to : to + BLOCK_ROWS].T, 0.0))
+                    own = same[at : at + 500] - to
+                    met = np.flatnonzero((own >= 0) & (own < d.shape[1]))
+                    d[met, own[met]] = 0.0
+                    sums = sums + d @ member[to : to + BLOCK_ROWS]
                 out.append(pd.DataFrame({"r": np.repeat(a["r"].to_numpy()[at : at + 500], len(names)), "l": np.repeat(a["l"].fillna("None").to_numpy()[at : at + 500], len(names)), "other": np.tile(names, len(part)), "s": sums.ravel(), "n": np.tile(member.sum(axis=0), len(part))}))
         return pd.concat(out) if out else pd.DataFrame({"r": [], "l": [], "other": [], "s": [], "n": []})
 

@@ -282,3 +282,13 @@ def test_silhouette_of_more_rows_than_the_sample(spark):
     assert metrics.silhouette(feats, sample=None).first()[0] == pytest.approx(np.mean(s), abs=1e-9)
     few = feats.limit(300).cache()
     assert metrics.silhouette_of_all(few, block_rows=70).first()[0] == pytest.approx(metrics.silhouette(few).first()[0], abs=1e-9)
+
+
+def test_silhouette_sends_each_row_to_few_blocks(spark):
+    rng = np.random.default_rng(5)
+    x, label = rng.normal(size=(2600, 2)), rng.integers(0, 3, 2600)
+    feats = spark.createDataFrame([(i, v.tolist(), int(l)) for i, (v, l) in enumerate(zip(x, label, strict=True))], "spot_id long, feat array<double>, pred long")
+    many = metrics.silhouette_of_all(feats, block_rows=50)  # 52 blocks, were there no bound
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert f", {metrics.FEW_BLOCKS}) as int) AS own" in plan, plan
+    assert many.first()[0] == pytest.approx(metrics.silhouette_of_all(feats).first()[0], abs=1e-9)
