@@ -54,8 +54,13 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
 
 def unit(vector: Column) -> Column:
     """The unit vector. Components are divided by the largest first, so that no square is zero or infinite that shouldn't be."""
-    even = F.transform(vector, lambda x: x / F.array_max(F.transform(vector, F.abs)))
-    return F.transform(even, lambda x: x / F.sqrt(F.aggregate(even, F.lit(0.0), lambda a, y: a + y * y)))
+    even = _bound(F.array_max(F.transform(vector, F.abs)), lambda most: F.transform(vector, lambda x: x / most))
+    return _bound(even, lambda v: _bound(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)), lambda length: F.transform(v, lambda x: x / length)))
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once for a row and not for each component that reads it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
