@@ -101,6 +101,7 @@ def _pass(docs: DataFrame, shared, text: str, first: bool) -> DataFrame:
     before = None if first else (docs.columns.index("_hits"), docs.columns.index("_items"))
 
     def start():
+        common.let_go()
         windows = WindowSet(shared.value)
 
         def make(part: pa.RecordBatch, at: int) -> list:

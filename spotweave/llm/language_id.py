@@ -34,6 +34,8 @@ from spotweave.llm import common
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 13
+#: Texts whose vectors a worker holds at once.
+AT_ONCE = 100
 #: Labelled rows of a language that make its centroids, centroids of a language, rounds of k-means.
 PER_LANGUAGE, CENTROIDS, ROUNDS = 800, 4, 12
 #: Share of a radius' cosine that a text may fall to, and upper ends of the length classes (n-grams of the first order).
@@ -104,6 +106,7 @@ def document_frequency(labelled: DataFrame) -> tuple[np.ndarray, int]:
     """For each bucket the documents of ``labelled`` (column ``text``) that hold it, and all documents with letters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.let_go()
         total, n = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
             for part in common.slices(batch, 0):
@@ -127,9 +130,11 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, order, text) with the text's counts instead: BUCKETS numbers at most, however long it is; none without a letter."""
     for batch in batches:
         for part in common.slices(batch, 2):
-            found = [np.zeros(BUCKETS, np.int64) if c is None else c for c in map(counts, part.column(2).to_pylist())]
-            at = [np.flatnonzero(c) for c in found]
-            lists = [pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())), pa.array([c[a] for c, a in zip(found, at, strict=True)], pa.list_(pa.int64()))]
+            at, n = [], []  # never the dense counts of all texts
+            for c in map(counts, part.column(2).to_pylist()):
+                at.append(np.empty(0, np.int32) if c is None else np.flatnonzero(c).astype(np.int32))
+                n.append(np.empty(0, np.int64) if c is None else c[at[-1]])
+            lists = [pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["lang", "order", "buckets", "n"])
 
 
@@ -163,6 +168,9 @@ class Model:
         self.names, self.centroids, self.radii, self.idf = names, centroids, radii, idf
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool, bool]]:
+        return [x for k in range(0, len(texts), AT_ONCE) for x in self._predict(texts[k : k + AT_ONCE])]
+
+    def _predict(self, texts: list[str | None]) -> list[tuple[str, float, bool, bool]]:
         found = [counts(t) for t in texts]
         out = [(UNKNOWN, 0.0, True, False)] * len(texts)
         rows = [i for i, c in enumerate(found) if c is not None]
@@ -191,12 +199,13 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     sample = grams.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("order"))).where((F.col("rank") <= PER_LANGUAGE) & (F.size("n") > 0)).select("lang", "buckets", "n")
 
     def cluster(part: pd.DataFrame) -> pd.DataFrame:
-        found = [_dense(at, n) for at, n in zip(part["buckets"], part["n"], strict=True)]
-        if not found:
+        if not len(part):
             return pd.DataFrame({"lang": [], "at": [], "centroid": [], "radii": []})
-        vectors = np.array([vector(c, idf) for c in found])
+        vectors, classes = np.empty((len(part), BUCKETS), np.float32), np.empty(len(part), int)
+        for i, (at, n) in enumerate(zip(part["buckets"], part["n"], strict=True)):
+            total = _dense(at, n)
+            vectors[i], classes[i] = vector(total, idf), length_class(total)
         centres, own = _cluster(vectors)
-        classes = np.array([length_class(c) for c in found])
         cosines = np.einsum("ij,ij->i", vectors, centres[own])
         radii = []
         for j in range(len(centres)):
@@ -218,6 +227,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
+        common.let_go()
         known = shared.value
 
         def make(part: pa.RecordBatch, at: int) -> list:

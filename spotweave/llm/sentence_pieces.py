@@ -216,15 +216,9 @@ class Pieces:
         return joined[1:] if joined[:1] == " " else joined
 
 
-_LOADED: dict[tuple[str, str], Pieces] = {}
-
-
 def loaded(path: str, kind: str) -> Pieces:
-    """The pieces of a file, loaded once in a worker process: what it remembers of words serves all its tasks."""
-    if (path, kind) not in _LOADED:
-        _LOADED.clear()
-        _LOADED[path, kind] = Pieces(path, kind)
-    return _LOADED[path, kind]
+    """The pieces of a file, loaded once in a worker process: what it remembers of words serves all its tasks, until another operator's begin."""
+    return common.held((path, kind), lambda: Pieces(path, kind))
 
 
 def encode(docs: DataFrame, model_path: str, text: str = "text", kind: str = "bpe") -> DataFrame:
