@@ -4,7 +4,8 @@ A text is normalised as the model does it (blanks become ``MARK``, one mark goes
 The distinct words of an Arrow batch are sorted, so neighbours share prefixes, and the trie that they form is walked
 depth first: each letter adds one forward state, and the next word starts from the states of the prefix that it has in
 common with the word before. A forward state holds the best score of all segmentations of the prefix, with the last
-piece and where it starts.
+piece and where it starts. Under BPE, the words of a batch take this walk together, as arrays (``piece_trie``); long words, and those
+with a letter that is no piece, take it one by one.
 
 * ``kind="unigram"``: a segmentation scores the sum of its pieces' scores.
 * ``kind="bpe"`` (the model files here): the merges of BPE forbid most segmentations. A piece may follow another only if
@@ -26,15 +27,17 @@ from __future__ import annotations
 import itertools
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from spotweave.llm import common
+from spotweave.llm import common, piece_trie
 
 MARK = "▁"
-#: Words (and neighbours) that a worker remembers in each of two generations, letters above which a word isn't remembered.
-REMEMBERED, LONG_WORD = 150_000, 200
+#: Words that a worker remembers in each of two generations, letters above which a word isn't remembered, neighbours remembered for such words,
+#: letters of text (a text at least) whose words are held at once.
+REMEMBERED, LONG_WORD, NEIGHBOURS, AT_ONCE = 100_000, 200, 20_000, 1 << 20
 LETTERS, SIGNS, SPACES = "A-Za-zÀ-ÖØ-öø-ɏ", ".,;:!?*$%&\"()", "\n\t\r"
 NEVER = float("-inf")
 
@@ -71,8 +74,11 @@ class Pieces:
         self.lengths: dict[str, list[int]] = {}
         self.word = self._splitter()
         self.neighbours: dict[tuple[str | None, str], bool] = {}
-        self.known: dict[str, list[int]] = {}
-        self.before: dict[str, list[int]] = {}
+        self.alone: dict[int, bool] = {}
+        self.known: dict[str, list[int]] = {}  # by the walk
+        self.packed: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.trie = piece_trie.Trie([t if t in self.ids else None for t in self.text], self._may) if kind == "bpe" else None
 
     def _tails(self) -> dict[str, list[int]]:
         """For each last three letters, the lengths of the pieces that end with them, longest first."""
@@ -119,13 +125,21 @@ class Pieces:
             return True
         found = self.neighbours.get((left, right))
         if found is None:
-            if len(self.neighbours) > REMEMBERED:
+            if len(self.neighbours) > NEIGHBOURS:
                 self.neighbours.clear()
             alone = left is None or self.allowed(None, right)
             found = alone and self.merged((left or "") + right) == ([right] if left is None else [left, right])
             self.neighbours[left, right] = found
         return found
 
+    def _may(self, left: int, right: int) -> bool:
+        """``allowed`` by ids (-1: None). Not remembered here; the trie asks once."""
+        a, b = self.text[left] if left >= 0 else "", self.text[right]
+        alone = self.alone.get(right)
+        if alone is None:
+            alone = self.alone[right] = self.merged(b) == [b]
+        return alone and (not a or self.merged(a + b) == [a, b])
+
     # --- the search
 
     def encode_sorted(self, words: list[str]) -> None:
@@ -189,23 +203,32 @@ class Pieces:
 
     # --- texts
 
-    def encode(self, texts: list[str | None]) -> list[list[int] | None]:
+    def pack(self, words: list[str]) -> None:
+        """Remember the ids of ``words``, which are sorted, four bytes each."""
+        short = [w for w in words if len(w) <= LONG_WORD] if self.trie else []
+        found = dict(zip(short, self.trie.search(short), strict=True)) if short else {}
+        self.encode_sorted([w for w in words if found.get(w) is None])
+        found.update((w, np.array(ids, np.int32).tobytes()) for w, ids in self.known.items())
+        self.known = {}
+        self.packed.update(found)
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        at = np.cumsum([len(t or "") for t in texts]) // AT_ONCE
+        return [x for _, part in itertools.groupby(zip(at.tolist(), texts, strict=True), lambda p: p[0]) for x in self._encode([t for _, t in part])]
+
+    def _encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         split = [None if t is None else self.word.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = set().union(*(s for s in split if s)).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:  # common words move on from the generation before
-            self.before, self.known = self.known, {}
+        new = set().union(*(s for s in split if s)).difference(self.packed)
+        if len(self.packed) + len(new) > REMEMBERED:  # common words move on from the generation before
+            self.before, self.packed = self.packed, {}
             new = set().union(*(s for s in split if s))
         again = new.intersection(self.before)
-        self.known.update((w, self.before[w]) for w in again)
-        self.encode_sorted(sorted(new.difference(again)))
-        known, out = self.known, []
-        for words in split:
-            if words is None:
-                out.append(None)
-                continue
-            out.append(list(itertools.chain.from_iterable(map(known.__getitem__, words))))
+        self.packed.update((w, self.before[w]) for w in again)
+        self.pack(sorted(new.difference(again)))
+        packed = self.packed
+        out = [None if words is None else np.frombuffer(b"".join(map(packed.__getitem__, words)), np.int32) for words in split]
         for w in [w for w in new if len(w) > LONG_WORD]:
-            del known[w]
+            del packed[w]
         return out
 
     def decode(self, ids: list[int] | None) -> str | None:
@@ -259,7 +282,7 @@ def encode_and_decode(docs: DataFrame, model_path: str, text: str = "text", kind
 
         def make(part: pa.RecordBatch, at: int) -> list:
             ids = pieces.encode(part.column(at).to_pylist())
-            return [ids, [pieces.decode(x) for x in ids]]
+            return [ids, [None if x is None else pieces.decode(x.tolist()) for x in ids]]
 
         return make
 
