@@ -41,6 +41,17 @@ def test_scaled_query_has_every_kept_gene(spark):
     assert catalog.queries()["st4_scale_clip"](spark, d).count() == genes * spark.read.parquet(f"{d}/documents.parquet").count()
 
 
+def test_rows_go_gene_by_gene(spark):
+    """A gene's rows stand together in a task, so that a file holds its zeros' z-score once and not once for each spot."""
+    values = spark.createDataFrame([(i, f"g{j}", float(1 + (i + j) % 5)) for i in range(60) for j in range(20) if (i * j) % 7 == 1], "spot_id long, gene string, x double")
+    moments = preprocess.gene_moments(values, spark.createDataFrame([(60,)], "n long"))
+    got = preprocess.scale(values, moments, spark.range(60).withColumnRenamed("id", "spot_id"), digits=5).collect()
+    genes = [r.gene for r in got]
+    assert len(got) == 60 * len(set(genes)) and 1 + sum(a != b for a, b in zip(genes, genes[1:])) == len(set(genes))
+    exact = {(r.spot_id, r.gene): r.z for r in preprocess.scale(values, moments, spark.range(60).withColumnRenamed("id", "spot_id")).collect()}
+    assert all(abs(r.z - exact[r.spot_id, r.gene]) <= 5.0001e-6 and r.z == round(r.z, 5) for r in got)
+
+
 @pytest.mark.parametrize("name", ["ag1_normalize_total", "st3_log1p"])
 def test_terms_are_not_sent(spark, name):
     plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
