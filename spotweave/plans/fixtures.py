@@ -27,7 +27,7 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of ``documents`` as counts: a document is a spot, a term a gene."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("spot_id"), F.col("source").alias("slice"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    held = docs.repartition(max(1, -(-size // TEXT_BYTES)), "spot_id")  # texts are dealt by spot once: terms are counted and scaled where their text is, and none is sent
+    held = docs.repartition(max(2, -(-size // TEXT_BYTES)), "spot_id")  # texts are dealt by spot once: terms are counted and scaled where their text is, and none is sent
     terms = held.select("spot_id", "slice", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("gene"))
     return terms.groupBy("spot_id", "slice", "gene").agg(F.count(F.lit(1)).cast("double").alias("cnt"))
 
