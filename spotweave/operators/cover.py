@@ -8,6 +8,9 @@ near to a query as a bound. ``pivots.Cells`` covers vectors of any length, ``til
 2. First pass: each query looks into the nearest packs with k + 1 ids. Its (k + 1)-th distance there is a bound.
 3. Second pass: it looks into all other packs that the cover can't rule out by the bound.
 4. A pack's queries and places are dealt to blocks of ``BLOCK_ROWS``; each pair of blocks is a group, compared in one product.
+5. Vectors without much structure look into nearly all packs. Where the cover has areas of neighbouring packs, a query goes in the second pass to
+   each area once, with its bound and a bit for each pack that it looks into, and comes back with no more than the k + 1 nearest within the bound. There
+   are few areas and few blocks of queries (``blocks_of``), so what is sent follows the rows until a block would have more than ``MOST_ROWS``.
 
 That is some fifteen jobs whatever the rows look like.
 """
@@ -27,14 +30,21 @@ from spotweave.sources import shared
 
 #: Rows of a pack's block, rows of a block compared at once, tasks that a hot place's rows are dealt to.
 BLOCK_ROWS, AT_ONCE, SALTS = 4000, 500, 32
+#: In the second pass by areas: blocks up to which they stay that small, and rows that a block grows to before there are more.
+FEW_BLOCKS, MOST_ROWS = 8, 100_000
+
+
+def blocks_of(n: int) -> int:
+    return max(1, min(-(-n // BLOCK_ROWS), FEW_BLOCKS), -(-n // MOST_ROWS))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    """The vectors of a column, in double precision."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
 def nearest_in(a: pd.DataFrame, b: pd.DataFrame, g: int, k: int, include_self: bool) -> pd.DataFrame:
-    x, y = np.array(a["v"].tolist()), np.array(b["v"].tolist())
+    x, y = np.array(a["v"].tolist(), float), np.array(b["v"].tolist(), float)
     middle = y.mean(axis=0)
     u, v = x - middle, y - middle  # far-off points lose no digits
     size_u, size_v = np.sum(u * u, axis=1), np.sum(v * v, axis=1)
@@ -54,17 +64,22 @@ def nearest_in(a: pd.DataFrame, b: pd.DataFrame, g: int, k: int, include_self: b
 
 
 
+def _kind(rows: DataFrame) -> str:
+    return rows.schema["v"].dataType.simpleString()
+
+
 def _in_packs(places: DataFrame, cover) -> DataFrame:
     """The places with their ``pack`` and what the cover notes of each (``note``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for start in range(0, whole.num_rows, cover.value.at_once):
+                batch = whole.slice(start, cover.value.at_once)
                 pack, cell, r = cover.value.place(matrix(batch.column(1)))
                 more = [pa.array(pack.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(r)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "pack", "cell", "r"])
 
-    return shared.written(places.select("j", "v", "g", "ids").mapInArrow(run, "j long, v array<double>, g long, ids array<long>, pack int, cell int, r double"))
+    return shared.written(places.select("j", "v", "g", "ids").mapInArrow(run, f"j long, v {_kind(places)}, g long, ids array<long>, pack int, cell int, r double"))
 
 
 def visits(asked: DataFrame, cover, enough: int, other: bool) -> DataFrame:
@@ -73,22 +88,22 @@ def visits(asked: DataFrame, cover, enough: int, other: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = cover.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, own = matrix(batch.column(1)), batch.column(2).to_numpy()
-            bounds = [dict(b) for b in batch.column(3).to_pylist()] if second else None
-            for g in known.groups:
-                asking = np.flatnonzero(own != g) if other else np.arange(len(x))
-                if not len(asking):
-                    continue
-                bound = np.array([bounds[k].get(g, np.inf) for k in asking]) if second else None
-                for rows, packs in known.looks(x[asking], g, enough, bound):
-                    for k in range(0, len(rows), 10_000):
-                        part = pa.array(asking[rows[k : k + 10_000]])
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(part), batch.column(1).take(part), pa.array(np.full(len(part), g, np.int64)), pa.array(packs[k : k + 10_000].astype(np.int32))], names=["p", "v", "g", "pack"])
-
-    return asked.mapInArrow(run, "p long, v array<double>, g long, pack int")
+        for whole in batches:
+            for start in range(0, whole.num_rows, known.at_once):
+                batch = whole.slice(start, known.at_once)
+                x, own = matrix(batch.column(1)), batch.column(2).to_numpy()
+                bounds = [dict(b) for b in batch.column(3).to_pylist()] if second else None
+                for g in known.groups:
+                    asking = np.flatnonzero(own != g) if other else np.arange(len(x))
+                    if not len(asking):
+                        continue
+                    bound = np.array([bounds[k].get(g, np.inf) for k in asking]) if second else None
+                    for rows, packs in known.looks(x[asking], g, enough, bound):
+                        for k in range(0, len(rows), 10_000):
+                            part = pa.array(asking[rows[k : k + 10_000]])
+                            yield pa.RecordBatch.from_arrays([batch.column(0).take(part), batch.column(1).take(part), pa.array(np.full(len(part), g, np.int64)), pa.array(packs[k : k + 10_000].astype(np.int32))], names=["p", "v", "g", "pack"])
+
+    return asked.select("p", "v", "own", *(["bounds"] if second else [])).mapInArrow(run, f"p long, v {_kind(asked)}, g long, pack int")
 
 
 def _search(visiting: DataFrame, places: DataFrame, k: int) -> DataFrame:
@@ -118,20 +133,124 @@ def _search(visiting: DataFrame, places: DataFrame, k: int) -> DataFrame:
     return met.select("p", "g", F.explode("ids").alias("j"), "d2")
 
 
+def _closer(best: tuple[np.ndarray, ...], x: np.ndarray, y: np.ndarray, at: np.ndarray, ids: np.ndarray, rows: np.ndarray, limit: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """``best`` (query, d2, id, place, by these) with the places ``at`` of ``y`` that are among the ``k`` nearest of the queries ``rows`` of ``x``, ``limit`` lowered to the k-th."""
+    middle = y[at].mean(axis=0)
+    v = y[at] - middle  # far-off points lose no digits
+    size_v = np.sum(v * v, axis=1)
+    found = [best]
+    for start in range(0, len(rows), AT_ONCE):
+        own = rows[start : start + AT_ONCE]
+        u = x[own] - middle
+        size_u = np.sum(u * u, axis=1)
+        far = size_u[:, None] + size_v - 2 * u @ v.T
+        slack = 1e-9 * (size_u + size_v.max())  # rounding of the product
+        near = far <= (limit[own] + slack)[:, None]
+        many = np.flatnonzero(np.count_nonzero(near, axis=1) > 2 * k)
+        if len(many):
+            kth = np.partition(far[many], k - 1, axis=1)[:, k - 1]
+            near[many] &= far[many] <= (kth + 2 * slack[many])[:, None]
+        q, c = np.nonzero(near)
+        if len(q):
+            c = at[c]
+            found.append((own[q], np.sum((y[c] - x[own[q]]) ** 2, axis=1), ids[c], c))  # as it is defined, so equal distances are equal numbers
+    if len(found) == 1:
+        return best
+    query, d2, low, place = (np.concatenate(column) for column in zip(*found, strict=True))
+    order = np.lexsort((low, d2, query))
+    query = query[order]
+    rank = np.arange(len(query)) - np.searchsorted(query, query)
+    order, query, rank = order[rank < k], query[rank < k], rank[rank < k]
+    last = rank == k - 1
+    limit[query[last]] = np.minimum(limit[query[last]], d2[order[last]])
+    return query, d2[order], low[order], place[order]
+
+
+def _in_area(a: pa.Table, b: pa.Table, first: int, k: int) -> pa.Table | None:
+    """(p, g, d2s, js): for each query of ``a`` (p, v, bound, packs) the ``k`` nearest ids in an area's places ``b`` (j, v, ids, pack), no farther than its bound."""
+    a, b = a.combine_chunks(), b.combine_chunks()
+    x, y = (matrix(t["v"].chunk(0)) for t in (a, b))
+    looks = np.unpackbits(np.frombuffer(b"".join(a["packs"].to_pylist()), np.uint8).reshape(len(x), -1), axis=1)
+    pack, ids = b["pack"].to_numpy() - first, b["j"].to_numpy()
+    limit = np.minimum(a["bound"].to_numpy() ** 2, np.finfo(float).max)  # nothing is infinitely far
+    best = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64))
+    by_pack = np.argsort(pack, kind="stable")
+    for at in np.split(by_pack, np.flatnonzero(np.diff(pack[by_pack])) + 1):
+        rows = np.flatnonzero(looks[:, pack[at[0]]])
+        if len(rows):
+            best = _closer(best, x, y, at, ids, rows, limit, k)
+    query, d2, _, place = best
+    if not len(query):
+        return None
+    lists = b["ids"].chunk(0)
+    starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    n = np.diff(starts)[place]  # a place's ids are all as near
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    query, d2, j = np.repeat(query, n), np.repeat(d2, n), flat[np.repeat(starts[place], n) + within]
+    order = np.lexsort((j, d2, query))
+    query, d2, j = query[order], d2[order], j[order]
+    top = np.arange(len(query)) - np.searchsorted(query, query) < k
+    query, d2, j = query[top], d2[top], j[top]
+    cuts = np.flatnonzero(np.diff(query, prepend=-1))
+    ends = pa.array(np.append(cuts, len(query)).astype(np.int32))
+    group = pa.array(np.full(len(cuts), a["g"][0].as_py(), np.int64))
+    return pa.table([a["p"].chunk(0).take(pa.array(query[cuts])), group, pa.ListArray.from_arrays(ends, pa.array(d2)), pa.ListArray.from_arrays(ends, pa.array(j))], names=["p", "g", "d2s", "js"])
+
+
+def _search_areas(asked: DataFrame, places: DataFrame, cover, k: int, other: bool, blocks: int) -> DataFrame:
+    """(p, g, d2s, js): the ``k`` nearest ids, no farther than ``bounds`` of ``asked`` (p, v, own, bounds), that each query meets in each area of other packs than in the first pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = cover.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, known.at_once):
+                batch = whole.slice(start, known.at_once)
+                x, own, bounds = matrix(batch.column(1)), batch.column(2).to_numpy(), [dict(b) for b in batch.column(3).to_pylist()]
+                for g in known.groups:
+                    asking = np.flatnonzero(own != g) if other else np.arange(len(x))
+                    if not len(asking):
+                        continue
+                    bound = np.array([bounds[n].get(g, np.inf) for n in asking])
+                    go = known.goes(x[asking], g, k, bound)
+                    for area, (first, end) in enumerate(known.areas[g]):
+                        rows = np.flatnonzero(go[:, first:end].any(axis=1))
+                        if len(rows):
+                            bits = pa.array([r.tobytes() for r in np.packbits(go[rows, first:end], axis=1)], pa.binary())
+                            part = pa.array(asking[rows])
+                            yield pa.RecordBatch.from_arrays([batch.column(0).take(part), batch.column(1).take(part), pa.array(bound[rows]), pa.array(np.full(len(rows), g, np.int64)), pa.array(np.full(len(rows), area, np.int32)), bits], names=["p", "v", "bound", "g", "area", "packs"])
+
+    rows = [(g, pack, area) for g, areas in cover.value.areas.items() for area, (first, end) in enumerate(areas) for pack in range(first, end)]
+    areas = F.broadcast(places.sparkSession.createDataFrame(rows, "g long, pack int, area int"))  # a row for each group and pack
+    visiting = asked.select("p", "v", "own", "bounds").mapInArrow(run, f"p long, v {_kind(asked)}, bound double, g long, area int, packs binary")
+    left = visiting.withColumn("q", F.pmod(F.xxhash64("p"), F.lit(blocks)).cast("int"))
+    right = places.join(areas, ["g", "pack"]).select("j", "v", "ids", "g", "pack", "area", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q"))
+
+    def near(key, a: pa.Table, b: pa.Table) -> pa.Table:
+        found = _in_area(a, b, cover.value.areas[key[0].as_py()][key[1].as_py()][0], k) if len(a) and len(b) else None
+        return found if found is not None else pa.table({"p": pa.array([], pa.int64()), "g": pa.array([], pa.int64()), "d2s": pa.array([], pa.list_(pa.float64())), "js": pa.array([], pa.list_(pa.int64()))})
+
+    by = ["g", "area", "q"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(near, "p long, g long, d2s array<double>, js array<long>")
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(W.partitionBy("p", "g").orderBy("d2", "j"))).where(F.col("rank") <= k).drop("rank")
 
 
-def neighbours(queries: DataFrame, points: DataFrame, k: int, include_self: bool, other: bool, start: Callable[[DataFrame, int], object]) -> DataFrame:
+def neighbours(queries: DataFrame, points: DataFrame, k: int, include_self: bool, other: bool, start: Callable[[DataFrame, int], object], long: bool = False) -> DataFrame:
     """(i, g, j, rank, d2) for ``queries`` and ``points`` (i, v, g): the ``k`` nearest in the same group, or with ``other`` in each other group.
 
-    ``start`` makes the cover from the places (j, v, g, ids) and their number. Rows with nulls take no part.
+    ``start`` makes the cover from the places (j, v, g, ids) and their number. Rows with nulls take no part. ``long`` vectors are sent in single precision if all
+    of them are numbers of it, and rows find their place by the vector's hash if no two places have the same.
     """
     spark = queries.sparkSession
     with shared.passing(spark):
         whole = "i is not null and v is not null and g is not null"
         asked = shared.written(queries.where(whole))
         refs = asked if points is queries else shared.written(points.where(whole))
+        single = long and all(side.where(F.exists("v", lambda x: x != x.cast("float").cast("double"))).isEmpty() for side in ([asked] if refs is asked else [asked, refs]))
+        if single:
+            asked, refs = (side.withColumn("v", F.col("v").cast("array<float>")) for side in (asked, refs))
         ranked = refs.groupBy("v", "g", F.pmod(F.xxhash64("i"), F.lit(SALTS)).alias("s")).agg(F.array_sort(F.collect_set("i")).alias("ids"))
         few = ranked.select("v", "g", F.slice("ids", 1, k + 1).alias("ids")).groupBy("v", "g").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
         held = shared.written(few.select(F.col("ids")[0].alias("j"), "v", "g", "ids"))
@@ -146,19 +265,28 @@ def neighbours(queries: DataFrame, points: DataFrame, k: int, include_self: bool
         cover.learn(notes)
         known = spark.sparkContext.broadcast(cover)
         # equal queries of a group are one, with the smallest id; their rows are looked up by salted keys
-        salted = asked.groupBy("v", "g", F.pmod(F.xxhash64("i"), F.lit(SALTS)).alias("s")).agg(F.min("i").alias("low"))
-        once = salted.groupBy("v", "g").agg(F.min("low").alias("p"))
-        parts = shared.written(salted.join(once, ["v", "g"]).select("v", "g", "s", "p"))
-        places = shared.written(parts.select("p", "v", F.col("g").alias("own")).dropDuplicates(["p", "own"]))
+        by = "v"
+        if long and points is queries and held.groupBy("g", F.xxhash64("v")).count().where("count > 1").isEmpty():
+            asked, by = asked.select("i", F.xxhash64("v").alias("h"), "g"), "h"
+        salted = asked.groupBy(by, "g", F.pmod(F.xxhash64("i"), F.lit(SALTS)).alias("s")).agg(F.min("i").alias("low"))
+        once = salted.groupBy(by, "g").agg(F.min("low").alias("p"))
+        parts = shared.written(salted.join(once, [by, "g"]).select(by, "g", "s", "p"))
+        ends = held.select(F.col("j").alias("p"), "v", F.col("g").alias("own")) if by == "h" else parts.select("p", "v", F.col("g").alias("own"))
+        places = shared.written(ends.dropDuplicates(["p", "own"]))
         first = shared.written(_best(_search(visits(places, known, k + 1, other), held, k + 1), k + 1))
         bound = first.groupBy("p", "g").agg(F.count(F.lit(1)).alias("c"), F.sqrt(F.max("d2")).alias("u")).where(F.col("c") > k)
         bounds = bound.groupBy("p").agg(F.map_from_entries(F.collect_list(F.struct("g", "u"))).alias("bounds"))
         empty_map = F.create_map().cast("map<bigint,double>")
         again = places.join(bounds, "p", "left").select("p", "v", "own", F.coalesce("bounds", empty_map).alias("bounds"))
-        second = _search(visits(again, known, k + 1, other), held, k + 1)
-        lists = _best(first.unionByName(second), k + 1).groupBy("p", "g").agg(F.array_sort(F.collect_list(F.struct("d2", "j"))).alias("near"))
+        if cover.areas:
+            second = _search_areas(again, held, known, k + 1, other, blocks_of(places.count()))
+            both = first.select("p", "g", F.array("d2").alias("d2s"), F.array("j").alias("js")).unionByName(second).groupBy("p", "g")
+            lists = both.agg(F.flatten(F.collect_list("d2s")).alias("d2"), F.flatten(F.collect_list("js")).alias("j")).select("p", "g", F.slice(F.sort_array(F.arrays_zip("d2", "j")), 1, k + 1).alias("near"))
+        else:
+            second = _search(visits(again, known, k + 1, other), held, k + 1)
+            lists = _best(first.unionByName(second), k + 1).groupBy("p", "g").agg(F.array_sort(F.collect_list(F.struct("d2", "j"))).alias("near"))
         keyed = parts.select("p", "s").distinct().join(lists.withColumnRenamed("g", "to"), "p")
-        rows = asked.withColumn("s", F.pmod(F.xxhash64("i"), F.lit(SALTS))).join(parts, ["v", "g", "s"]).select("i", "p", "s").join(keyed, ["p", "s"])
+        rows = asked.withColumn("s", F.pmod(F.xxhash64("i"), F.lit(SALTS))).join(parts, [by, "g", "s"]).select("i", "p", "s").join(keyed, ["p", "s"])
         near = F.col("near") if include_self else F.filter("near", lambda x: x["j"] != F.col("i"))
         out = rows.select("i", F.col("to").alias("g"), F.posexplode(F.slice(near, 1, k)).alias("at", "x"))
         return shared.written(out.select("i", "g", F.col("x.j").alias("j"), (F.col("at") + 1).cast("int").alias("rank"), F.col("x.d2").alias("d2")), keep=True)

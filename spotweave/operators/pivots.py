@@ -28,7 +28,9 @@ OFF = 1e-7
 
 
 class Cells:
-    """The pivots, the pack of each, and for each group and cell what is known of its places."""
+    """The pivots, the pack of each, and for each group and cell what is known of its places; ``areas`` has the first pack of each of a group's areas and the end."""
+
+    at_once = cover.AT_ONCE  #: rows that are held against all pivots at once
 
     def __init__(self, pivots: np.ndarray, packs: int = 1):
         self.pivots, self.middle = pivots, pivots.mean(axis=0)
@@ -37,6 +39,7 @@ class Cells:
         self.by_pack = np.argsort(self.pack, kind="stable")
         self.starts = np.searchsorted(self.pack[self.by_pack], np.arange(packs))
         self.groups: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.areas: dict[int, list[tuple[int, int]]] = {}
 
     def notes(self) -> list[Column]:
         return [F.min("r").alias("low"), F.max("r").alias("high")]
@@ -48,6 +51,13 @@ class Cells:
             at = rows["cell"].to_numpy()
             n[at], low[at], high[at] = rows["n"], rows["low"], rows["high"]
             self.groups[int(g)] = (n, low, high)
+        every = sum(int(n.sum()) for n, _, _ in self.groups.values())
+        for g, (n, _, _) in self.groups.items():  # packs of neighbouring boxes have neighbouring numbers
+            held = np.bincount(self.pack, weights=n, minlength=self.packs)
+            areas = -(-int(n.sum()) * cover.blocks_of(every) // every)
+            area = ((np.cumsum(held) - held) * areas // max(1.0, held.sum())).astype(int)
+            starts = np.flatnonzero(np.diff(area, prepend=-1))
+            self.areas[g] = list(zip(starts.tolist(), [*starts[1:].tolist(), self.packs], strict=True))
 
     def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each row its pack, its cell, and the distance from the pivot."""
@@ -57,11 +67,13 @@ class Cells:
 
     def looks(self, x: np.ndarray, g: int, enough: int, bound: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Rows and packs of group ``g`` that they look into, in the first pass or with ``bound`` in the second."""
+        yield np.nonzero(self.goes(x, g, enough, bound))
+
+    def goes(self, x: np.ndarray, g: int, enough: int, bound: np.ndarray | None) -> np.ndarray:
+        """For each row whether it looks into each pack of group ``g``."""
         d, off = self.distances(x)
         go = self.to_packs(self.first(d, g, enough))
-        if bound is not None:
-            go = self.to_packs(self.reachable(d, off, g, bound)) & ~go
-        yield np.nonzero(go)
+        return go if bound is None else self.to_packs(self.reachable(d, off, g, bound)) & ~go
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distances of rows from all pivots, and how far they may be off."""
@@ -119,4 +131,4 @@ def pivot_neighbours(queries: DataFrame, points: DataFrame, k: int, include_self
         return Cells(sample, min(m, max(1, -(-n // pack_rows))))
 
     asked = queries.select(*own)
-    return cover.neighbours(asked, asked if points is queries else points.select(*own), k, include_self, bool(group), start)
+    return cover.neighbours(asked, asked if points is queries else points.select(*own), k, include_self, bool(group), start, True)

@@ -26,6 +26,8 @@ TILE_ROWS, SAMPLED, MOST_TILES = 500, 16, 1 << 16
 class Tiles:
     """The tree of cuts. Node 0 is the plane; a node with ``left`` -1 is a tile."""
 
+    at_once = 10_000  #: rows that go down the tree together
+
     def __init__(self, sample: np.ndarray, tiles: int):
         self.axis, self.cut, self.left, self.right = [], [], [], []
         most = max(1, -(-len(sample) // max(1, tiles)))
@@ -45,6 +47,7 @@ class Tiles:
             todo += [(own[below], self.left[node]), (own[~below], self.right[node])]
         self.axis, self.cut, self.left, self.right = np.array(self.axis), np.array(self.cut), np.array(self.left), np.array(self.right)
         self.groups: dict[int, np.ndarray] = {}
+        self.areas: dict = {}  # a place of the plane looks into few tiles
 
     def _node(self) -> int:
         for column, empty in ((self.axis, 0), (self.cut, 0.0), (self.left, -1), (self.right, -1)):

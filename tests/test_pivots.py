@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from spotweave.operators import neighbours, pivots
+from spotweave.operators import cover, neighbours, pivots
 
 
 def table(spark, x, ids=None, batch=None):
@@ -65,3 +65,29 @@ def compared(n):
 def test_pairs_grow_far_slower_than_squares():
     small, large = compared(20_000), compared(100_000)
     assert np.log(large / small) / np.log(5) < 1.5 and large < 0.1 * 100_000**2, (small, large)
+
+
+@pytest.mark.parametrize("groups", [1, 3])
+def test_a_query_goes_to_few_areas(spark, monkeypatch, groups):
+    """Without structure a query looks into nearly all packs: it is sent to a few areas of them, as often for many rows as for few."""
+    seen, search = [], cover._search_areas
+
+    def spied(asked, places, known, k, other, blocks):
+        seen.append((known.value, blocks))
+        return search(asked, places, known, k, other, blocks)
+
+    monkeypatch.setattr(cover, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(cover, "_search_areas", spied)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 16)).astype(np.float32).astype(float)  # sent in single precision
+    x[700:720] = x[5]
+    df = table(spark, x, rng.permutation(len(x)), rng.integers(0, groups, len(x)))
+    group = "batch" if groups > 1 else None
+    want = neighbours.block_neighbours(df, df, 4, group=group).select("i", "g", "j", "rank", "d2")
+    got = pivots.pivot_neighbours(df, df, 4, group=group, cell_rows=5, pack_rows=10)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    (cells, blocks), = seen
+    assert cells.packs > 80 and blocks <= cover.FEW_BLOCKS and sum(map(len, cells.areas.values())) < cover.FEW_BLOCKS + groups
+    for areas in cells.areas.values():
+        assert [p for first, end in areas for p in range(first, end)] == list(range(cells.packs))
+    assert cover.blocks_of(40_000) == cover.blocks_of(800_000) == cover.FEW_BLOCKS
