@@ -6,8 +6,8 @@ are kept. Cells near each other are packed until a pack has about ``PACK_ROWS``
 
 By the triangle inequality, nothing in a cell is nearer to a query than the distance from its pivot less the cell's largest
 distance, nor than the cell's least distance less that. A query goes to those packs only that have a cell for which this isn't above its bound
-(``cover``). On vectors in clusters that is few packs; on vectors without any structure it is nearly all, and then rows are sent
-as often as ``neighbours.block_neighbours`` sends them.
+(``cover``). On vectors in clusters that is few packs; on vectors without any structure it is nearly all. What is sent doesn't follow the packs: each
+group's packs make ``areas`` of neighbouring ones with about as many places each, and a query is sent to an area once.
 """
 
 from __future__ import annotations
